@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from rangeview.llm.common import session, written
 
-#: Vectors that the trees are fitted on, at most; those with the smallest hash. Every vector is indexed.
+#: Vectors that the trees are fitted on, at most, chosen by hash. Every vector is indexed.
 SAMPLE = 65_536
 #: Vectors of the sample in a leaf, at most; a leaf of all rows holds this times rows / sample.
 LEAF = 64
@@ -108,8 +108,10 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
     out = None
     for dim in sorted(r.d for r in kinds.select(F.size("e").alias("d")).distinct().collect()):
         own = F.size("e") == dim
-        picked = kinds.where(own).orderBy(F.xxhash64("v"), "v").limit(sample).select("e").toPandas()
-        forest = spark.sparkContext.broadcast(grow(np.stack(picked["e"].to_numpy()).astype(np.float64), trees, leaf))
+        n_kinds = kinds.where(own).count()
+        share = min(1.0, 0.98 * sample / max(n_kinds, 1))
+        picked = kinds.where(own).where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * share)).select("v", "e").limit(sample).toPandas().sort_values("v")
+        forest = spark.sparkContext.broadcast(grow(np.stack(picked["e"].to_numpy()).astype(np.float64) if len(picked) else np.zeros((0, dim)), trees, leaf))
         del picked
 
         def place(batches, forest=forest):
@@ -152,7 +154,6 @@ def nearest(vectors: DataFrame, k: int = 10, every: int = 100, trees: int = TREE
             out = pd.DataFrame({"v": np.repeat(fv, n), "vec_id": np.concatenate([np.zeros(0, np.int64), *(ids[j] for j in fx)]).astype(np.int64), "score": np.repeat(fd, n)})
             return out.sort_values(["v", "score", "vec_id"]).groupby("v", sort=False).head(k + 1)
 
-        n_kinds = kinds.where(own).count()
         leaves = 1 << len(forest.value.cuts)
         in_leaf = max(1, n_kinds // leaves)
         pack_size, parts = max(1, GROUP // in_leaf), max(1, in_leaf // GROUP)
