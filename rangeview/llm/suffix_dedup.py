@@ -28,12 +28,12 @@ SPAN = 50
 #: Bytes of the rolling hash.
 ROLL = 16
 #: Mean distance and least distance of triggers.
-TRIGGER, GAP = 256, 32
+TRIGGER, GAP = 128, 32
 PACK_BYTES = 1 << 20
 #: Raw text for which there is one shard.
 SHARD_BYTES = 16 << 20
 #: A least hash that so many packs share is dealt out by its strings' content.
-HOT = 64
+HOT = 4096
 LAST = np.int64((1 << 63) - 1)
 
 
@@ -169,20 +169,25 @@ def _unresolved(p: Pack, shards: int, bits: np.ndarray):
 def _least_keys(p: Pack, open_: np.ndarray, shards: int):
     """Distinct least hashes of the open places in shard order, with least and greatest owner; and each open place's key."""
     at = np.flatnonzero(open_)
-    low = p.least()[at]
-    owner = p.owner[at]
-    u, group = np.unique(low, return_inverse=True)
-    if not len(u):
+    if not len(at):
         z = np.zeros(0, np.int64)
-        return at, z, u, z, z, group
-    least, most = np.full(len(u), LAST), np.full(len(u), -LAST)
-    np.minimum.at(least, group, owner)
-    np.maximum.at(most, group, owner)
+        return at, z, z.view(np.uint64), z, z, z
+    value, holder = p.least()[at], p.owner[at]
+    # neighbours mostly share their least hash: one row for each run
+    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (holder[1:] != holder[:-1])]))
+    run, own = value[first], holder[first]
+    order = np.lexsort((own, run))
+    run, own = run[order], own[order]
+    new = np.concatenate([[True], run[1:] != run[:-1]])
+    heads = np.flatnonzero(new)
+    u, least, most = run[heads], own[heads], own[np.concatenate([heads[1:], [len(run)]]) - 1]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
     shard = _by_shard(u, shards)[0]
-    sort = np.lexsort((u, shard))
+    sort = np.argsort(shard, kind="stable")
     place = np.empty(len(sort), np.int64)
     place[sort] = np.arange(len(sort))
-    return at, shard[sort], u[sort], least[sort], most[sort], place[group]
+    return at, shard[sort], u[sort], least[sort], most[sort], np.repeat(place[group], np.diff(np.concatenate([first, [len(at)]])))
 
 
 def _segments(p: Pack, at: np.ndarray, keys: np.ndarray, code: np.ndarray, shards: int):
@@ -367,7 +372,7 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         lost, open_ = _unresolved(p, shards, _joined(r["one"]))
         at, _, keys, _, _, place = _least_keys(p, open_, shards)
         code = _joined(r["two"])[place] if len(at) else np.zeros(0, np.uint8)
-        return lost, _segments(p, at, keys[place] if len(at) else keys, code, shards)
+        return lost, _segments(p, at, keys[place] if len(at) else keys, code, 4 * shards)
 
     def strings(batches):
         for b in batches:
