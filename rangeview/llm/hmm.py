@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeview.llm.common import byte_chunks, forget, session, summed, text_of, written
+from rangeview.llm.common import byte_chunks, collected, session, summed, text_of, written
 from rangeview.llm.vec import HashIndex, U, prefix_hash, span_hash, words
 
 #: Bytes of a token plus 1, A-Z lower-cased; 0 for the blanks that part tokens.
@@ -19,7 +19,7 @@ for _b in range(256):
     FOLD[_b] = 0 if _b == 32 or 9 <= _b <= 13 else (_b | 32 if 65 <= _b <= 90 else _b) + 1
 END = U(0xE17D0F7E7D0C5EED)
 #: Most frequent training tokens whose counts go to every executor; the counts of the others are joined by shuffle.
-HEAD = 1 << 20
+HEAD = 1 << 18
 #: Most frequent tokens that are symbols of the model; all others are one symbol, RARE, with unigram shares inside it.
 SYMBOLS = 32767
 RARE = SYMBOLS
@@ -217,9 +217,18 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
     spark = session(docs)
     base = docs.select("doc_id", training.alias("training"), text_of().alias("text"))
     counts = written(token_counts(base.where("training").select("text")))
-    head = counts.orderBy(F.desc("c"), "hash").limit(HEAD).toPandas()
+    # the head: all tokens above a count, the least for which they are at most HEAD; found from counts by sixteenths of a doubling
+    size = F.floor(F.log2("c") * 16).cast("int")
+    by_size = {r["s"]: r["n"] for r in counts.groupBy(size.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    floor, held = 1 << 20, 0
+    for k in sorted(by_size, reverse=True):
+        held += by_size[k]
+        if held > HEAD:
+            break
+        floor = k
     total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).head()
-    keys, c = head["hash"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
+    head = collected(counts.where(size >= floor), ("hash", "c"))
+    keys, c = head["hash"].view(np.uint64), head["c"]
     order = np.lexsort((keys.view(np.int64), -c))
     keys, c = keys[order], c[order]
     m = min(SYMBOLS, len(keys))
@@ -230,7 +239,6 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
     share /= share.sum()
     base_of = lambda n: np.log10((n + 0.5) / (total + 0.5 * (kinds + 1)))
     rare_of = lambda n: np.log10((n + 0.5) / (rare_total + 0.5 * (rare_kinds + 1)))
-    tail_floor = int(c[-1]) if len(c) == HEAD else 0
     wide = spark.sparkContext.broadcast((HashIndex(keys), base_of(c), rare_of(c)))
 
     def encode(batches):
@@ -264,7 +272,10 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
 
     # Baum-Welch
     texts = coded.where("training").select("ids")
-    sample = [np.frombuffer(r.ids, "<u2") for r in coded.where("training").select("ids", F.xxhash64("ids").alias("h")).orderBy("h", "ids").limit(GUESS_TEXTS).select(F.substring("ids", 1, 2 * 4 * PIECE).alias("ids")).collect()]
+    n_texts = texts.count()
+    pick = texts.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.95 * GUESS_TEXTS / max(n_texts, 1))))
+    sample = [np.frombuffer(r.ids, "<u2") for r in pick.select(F.substring("ids", 1, 4 * PIECE).alias("ids")).limit(GUESS_TEXTS).collect()]
+    sample.sort(key=lambda i: i.tobytes())
     model = first_guess(sample, share, states)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
@@ -306,7 +317,7 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), [len(t) for t in tails])), pa.array(np.concatenate([np.zeros(0, np.int64), *tails]))], names=["row", "hash"])
 
     lost = coded.where(F.length("tail") > 0).select("row", "tail").mapInArrow(unfold, "row long, hash long").groupBy("row", "hash").agg(F.count(F.lit(1)).alias("k"))
-    rest = counts.where(F.col("c") <= tail_floor)
+    rest = counts.where(size < floor)
     n = F.coalesce("c", F.lit(0))
     found = lost.join(rest, "hash", "left").groupBy("row").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"),
