@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ def records(data: bytes, delimiter: str = ",") -> Iterator[tuple[int, list[bytes
     the end are malformed and taken as they stand.
     """
     at, n, d = (3 if data.startswith(b"\xef\xbb\xbf") else 0), len(data), ord(delimiter)
+    ends = re.compile(b"[\r\n" + re.escape(delimiter.encode()) + b"]").search
     while at < n:
         if data[at] in b"\r\n":
             at += 1
@@ -57,18 +59,18 @@ def records(data: bytes, delimiter: str = ",") -> Iterator[tuple[int, list[bytes
                     at = end + 1
                     break
                 start = at
-                while at < n and data[at] != d and data[at] not in b"\r\n":
-                    at += 1
+                stop = ends(data, at)
+                at = stop.start() if stop else n
                 if at > start:
                     bad = start if bad is None else bad
                     out += data[start:at]
                 fields.append(bytes(out))
             else:
                 start = at
-                while at < n and data[at] != d and data[at] not in b"\r\n":
-                    if data[at] == 34 and bad is None:
-                        bad = at
-                    at += 1
+                stop = ends(data, at)
+                at = stop.start() if stop else n
+                if bad is None and (quote := data.find(b'"', start, at)) >= 0:
+                    bad = quote
                 fields.append(data[start:at])
             if at < n and data[at] == d:
                 at += 1
