@@ -108,6 +108,40 @@ def summed(df: DataFrame, counts: Callable[[Iterator[pa.RecordBatch]], np.ndarra
     return out
 
 
+def bitmap(df: DataFrame, name: str, bits: int, slices: int = 64) -> np.ndarray:
+    """Bytes of 2^bits bits, set at the low bits of a long column's values; its size does not follow the input.
+
+    Tasks send their slices compressed, executors join them, and the driver gets one bitmap.
+    """
+    step = (1 << bits) // 8 // slices
+
+    def joined(parts):
+        for k, v in parts.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "v": pa.array([pa.compress(v.tobytes(), "zstd", asbytes=True)], pa.binary())})
+
+    def unpack(v):
+        return np.frombuffer(pa.decompress(v, decompressed_size=step, codec="zstd", asbytes=True), np.uint8)
+
+    def emit(batches):
+        total = np.zeros((1 << bits) // 8, np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy() & ((1 << bits) - 1)
+            np.bitwise_or.at(total, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        yield from joined({k: p for k in range(slices) if (p := total[k * step : (k + 1) * step]).any()})
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                totals[k] = totals[k] | unpack(v) if k in totals else unpack(v)
+        yield from joined(totals)
+
+    schema, out = "k int, v binary", np.zeros((1 << bits) // 8, np.uint8)
+    for row in df.select(name).mapInArrow(emit, schema).repartition(min(slices, 16), "k").mapInArrow(add, schema).collect():
+        out[row.k * step : (row.k + 1) * step] |= unpack(row.v)
+    return out
+
+
 def collected(df: DataFrame, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Long columns of a frame of proven bounded size as arrays on the driver; they travel as bytes, not as rows."""
 

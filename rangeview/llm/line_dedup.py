@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangeview.llm.common import byte_chunks, session, text_of, written
+from rangeview.llm.common import bitmap, byte_chunks, session, text_of, written
 from rangeview.llm.groups import components, linked
 from rangeview.llm.vec import WORDS, mix, powers, prefix_hash, span_hash, words
 
@@ -20,13 +20,20 @@ CUTS = (0, 13, 26, 39, 52, 64)
 SIMILARITY = 0.8
 #: Lines of fewer words are linked to equal lines only: their few features leave SimHash nothing to tell.
 MIN_WORDS = 5
+PAIRS = tuple(combinations(range(5), 2))
+#: Rows of a bucket up to which all are compared; beyond, they are parted further.
+LONG = 64
+#: Rows of buckets that a task looks at together.
+STEP = 1 << 17
+#: Size of the bitmap of linked lines, as a power of two of bits: 8 MB, whatever the input.
+BITMAP_BITS = 26
 
 _FOLD = WORDS.copy()
 _FOLD[48:58] = 48
 
 
 def line_records(data: np.ndarray, offsets: np.ndarray):
-    """(row, line number, hash, SimHash, characters, words) of each line with words, of texts given as bytes."""
+    """(row, line number, hash, SimHash, characters, words, first byte, end) of each line with words, of texts given as bytes."""
     breaks = np.flatnonzero(data == 10)
     doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
     start = np.concatenate([offsets[:-1], breaks + 1])
@@ -57,7 +64,8 @@ def line_records(data: np.ndarray, offsets: np.ndarray):
             ones = np.add.reduceat(bits, first[k : k + step] - a, axis=0, dtype=np.uint32)
             half = counts[full[k : k + step], None]
             sim[k : k + step] = np.packbits(2 * ones > half, axis=1).view(np.uint64).ravel()
-    return doc[full], number[full], own[full], sim, chars[full], counts[full]
+    end = np.append(start[1:] - (doc[1:] == doc[:-1]), len(data))
+    return doc[full], number[full], own[full], sim, chars[full], counts[full], start[full], end[full]
 
 
 def normalised(text: Column) -> Column:
@@ -73,7 +81,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for lo, _, data, offsets in byte_chunks(b.column(2)):
-                row, number, own, sim, chars, n = line_records(data, offsets)
+                row, number, own, sim, chars, n, _, _ = line_records(data, offsets)
                 if len(row):
                     at = pa.array(lo + row)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number), pa.array(own.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars.astype(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "th", "line", "h", "sim", "chars", "words"])
@@ -81,36 +89,138 @@ def _lines(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(read, "doc_id long, th long, line long, h long, sim long, chars long, words long")
 
 
+def _key(sim: Column, k: Column) -> Column:
+    """Key ``k`` of ten of a SimHash: two of its five blocks, and which."""
+    block = lambda i: F.shiftrightunsigned(sim, CUTS[i]).bitwiseAND((1 << (CUTS[i + 1] - CUTS[i])) - 1)
+    return F.get(F.array(*[(block(i) * (1 << 13) + block(j)) * 16 + n for n, (i, j) in enumerate(PAIRS)]), k)
+
+
+def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Of rows sorted by ``group``: whether another row of the group is near; all rows of a group of over ``LONG``."""
+    n = len(group)
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
+    size = np.repeat(np.diff(np.append(first, n)), np.diff(np.append(first, n)))
+    keep = size > LONG
+    i = np.flatnonzero(~keep & (size > 1))
+    for d in range(1, LONG):
+        i = i[i + d < n]
+        i = i[group[i] == group[i + d]]
+        if not len(i):
+            break
+        a, b = chars[i], chars[i + d]
+        ok = (np.bitwise_count((sim[i] ^ sim[i + d]).view(np.uint64)) <= DISTANCE) & (np.minimum(a, b) >= np.maximum(a, b) * SIMILARITY - 1e-9)
+        keep[i[ok]] = keep[i[ok] + d] = True
+    return keep
+
+
+def with_partner(bucket: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    """Of rows sorted by ``bucket``: those that may be near another row of it, none that is near left out.
+
+    Rows of a long bucket agree in its two blocks, so near ones also agree in one of four parts of the other three
+    blocks; only those are compared. A part that still has over ``LONG`` rows keeps them all.
+    """
+    keep = _close(bucket, sim, chars)
+    _, at, size = np.unique(bucket, return_inverse=True, return_counts=True)
+    long = np.flatnonzero(size[at] > LONG)
+    if len(long):
+        b, v = bucket[long], sim[long].view(np.uint64)
+        rest = np.zeros(len(long), np.uint64)
+        for k, pair in enumerate(PAIRS):
+            own = (b & 15) == k
+            for i in set(range(5)) - set(pair):
+                width = CUTS[i + 1] - CUTS[i]
+                part = (v[own] >> np.uint64(CUTS[i])) & np.uint64((1 << width) - 1)
+                rest[own] = (rest[own] << np.uint64(width)) | part
+        some = np.zeros(len(long), bool)
+        for q in range(4):
+            part = ((rest >> np.uint64(10 * q)) & np.uint64(1023)).astype(np.int64)
+            order = np.lexsort((part, b))
+            whole = np.cumsum(np.concatenate([[0], (b[order][1:] != b[order][:-1]) | (part[order][1:] != part[order][:-1])]))
+            some[order] |= _close(whole, sim[long][order], chars[long][order])
+        keep[long] = some
+    return keep
+
+
+def _met(batches):
+    """(bucket, sim) of rows with a partner, of batches (sim, tag, bucket) sorted by bucket; tag is 16 * characters + key."""
+    held: list[list[np.ndarray]] = []
+    rows, wide = 0, None
+
+    def emit(bucket, tag, sim):
+        keep = with_partner(bucket, sim, tag >> 4)
+        if wide is not None:
+            keep |= bucket == wide
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(sim[keep])], names=["bucket", "sim"])
+
+    for b in batches:
+        held.append([b.column(i).to_numpy() for i in (2, 1, 0)])
+        rows += b.num_rows
+        if rows >= STEP:
+            bucket, tag, sim = (np.concatenate(x) for x in zip(*held))
+            cut = int(np.searchsorted(bucket, bucket[-1], "left"))
+            yield from emit(bucket[:cut], tag[:cut], sim[:cut])
+            if rows - cut >= STEP:  # a bucket too long to hold: all its rows go on
+                wide = bucket[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut:]), pa.array(sim[cut:])], names=["bucket", "sim"])
+                cut = rows
+            held, rows = [[bucket[cut:], tag[cut:], sim[cut:]]], rows - cut
+    if rows:
+        yield from emit(*(np.concatenate(x) for x in zip(*held)))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, text): the normalised text of each line whose hash is in ``wanted`` (h).
+
+    A bitmap of fixed size picks lines while texts are read, so few others are shuffled; the join after it is exact.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "h", BITMAP_BITS))
+
+    def read(batches):
+        for b in batches:
+            for _, _, data, offsets in byte_chunks(b.column(0)):
+                _, _, own, _, _, _, start, end = line_records(data, offsets)
+                at = own & np.uint64((1 << BITMAP_BITS) - 1)
+                hit = np.flatnonzero(bits.value[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+                _, once = np.unique(own[hit], return_index=True)
+                hit = hit[once]
+                if len(hit):
+                    raw = data.tobytes()
+                    text = pa.array([raw[s:e] for s, e in zip(start[hit].tolist(), end[hit].tolist())], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), text], names=["h", "text"])
+
+    found = docs.select(text_of().alias("text")).mapInArrow(read, "h long, text string")
+    return found.groupBy("h").agg(F.min("text").alias("text")).join(wanted, "h", "left_semi").select("h", normalised(F.col("text")).alias("text"))
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, groups): every line with words as (doc_id, th, line, h), and (h, group, n) of each distinct line."""
+    """(occurrences, groups): every line with words as (doc_id, th, line, h), and (h, group, n, first) of each distinct line that is repeated or linked."""
     lines = written(_lines(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     kinds = written(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.first("words").alias("words")))
-    block = lambda k: F.shiftrightunsigned("sim", CUTS[k]).bitwiseAND((1 << (CUTS[k + 1] - CUTS[k])) - 1)
-    keys = F.array(*[(block(i) * (1 << 13) + block(j)) * 16 + k for k, (i, j) in enumerate(combinations(range(5), 2))])
-    members = kinds.where(F.col("words") >= MIN_WORDS).select(F.col("h").alias("id"), F.col("n").alias("weight"), F.struct("sim", "chars").alias("sig"), F.explode(keys).alias("bucket"))
+    # ten small rows a line are dealt once by their key; only lines with a near partner go on
+    tags = kinds.where(F.col("words") >= MIN_WORDS).select("sim", F.explode(F.array(*[F.col("chars") * 16 + k for k in range(len(PAIRS))])).alias("tag"))
+    key = _key(F.col("sim"), F.col("tag").bitwiseAND(15).cast("int"))
+    met = written(tags.repartition(key).withColumn("bucket", key).sortWithinPartitions("bucket").mapInArrow(_met, "bucket long, sim long").distinct())
+    near_lines = written(kinds.join(met.select("sim").distinct(), "sim").select("h", "n", "first", "sim", "chars"))
+    members = met.join(near_lines, "sim").select(F.col("h").alias("id"), F.col("n").alias("weight"), F.struct("sim", "chars").alias("sig"), "bucket")
 
     def near(a: Column, b: Column) -> Column:
         close = F.least(a.chars, b.chars) >= F.greatest(a.chars, b.chars) * SIMILARITY - 1e-9
         return close & (F.bit_count(a.sim.bitwiseXOR(b.sim)) <= DISTANCE)
 
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("th"), text_of().alias("text"))
+    texts = written(_texts(docs, near_lines.select("h")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-        at = ids.join(kinds, "h").groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.line", "h")).alias("wanted"))
-        at = at.select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "wanted")
-        text = base.join(at, base.doc_id.eqNullSafe(at.d) & (base.th == at.t)).select(F.split("text", "\n").alias("parts"), F.explode("wanted").alias("w"))
-        text = written(text.select(F.col("w.h").alias("h"), normalised(F.get("parts", F.col("w.line").cast("int"))).alias("text")).groupBy("h").agg(F.first("text").alias("text")))
-        one = pairs.join(text.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(text.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
+        one = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
+        two = one.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
         longest = F.greatest(F.length("ta"), F.length("tb"))
         two = two.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")).withColumn("few", F.expr("int(most / 20)"))
         return two.where("levenshtein(ta, tb, few) >= 0 or levenshtein(ta, tb, most) >= 0").select("a", "b")
 
     found = components(linked(members, verify, near))
-    group = kinds.join(found, kinds.h == found.node, "left").select("h", F.coalesce("component", "h").alias("group"), "n", "first")
-    return lines, group
+    told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")
+    return lines, told(kinds.where("n > 1"), "left").union(told(near_lines.where("n = 1"), "inner"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

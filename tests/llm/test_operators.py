@@ -299,3 +299,19 @@ def test_urls(spark):
     assert (got[6].host, got[6].path, got[7].host, got[7].path) == ("", "", "", "")
     assert got[8].verdict == got[139].verdict == "block" and got[10].verdict == "allow" and got[8].template == "/spam/*"
     assert url_filter.judge_urls(pages.limit(0), labels.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("long", [4, 64])
+def test_partner_search_loses_no_near_line(long, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG", long)
+    rng = np.random.default_rng(1)
+    sim = (rng.integers(0, 2**63, 3000, dtype=np.int64) >> 26) << 26
+    sim[1::50] = sim[::50] ^ (1 << 30) ^ (1 << 45)
+    bucket = np.repeat(np.arange(10), 300) * 16
+    got = line_dedup.with_partner(bucket, sim, np.full(3000, 100))
+    for g in range(10):
+        own = sim[bucket == g * 16].view(np.uint64)
+        near = np.bitwise_count(own[:, None] ^ own[None, :]) <= 3
+        np.fill_diagonal(near, False)
+        assert not (near.any(1) & ~got[bucket == g * 16]).any()
+    assert got.sum() < 1500
