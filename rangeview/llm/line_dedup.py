@@ -215,8 +215,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         one = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
         two = one.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
         longest = F.greatest(F.length("ta"), F.length("tb"))
-        two = two.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int")).withColumn("few", F.expr("int(most / 20)"))
-        return two.where("levenshtein(ta, tb, few) >= 0 or levenshtein(ta, tb, most) >= 0").select("a", "b")
+        two = two.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int"))
+        # the time of a bounded distance grows with its bound: most links are told by a small one
+        return two.where(" or ".join(f"levenshtein(ta, tb, int(most / {k})) >= 0" for k in (80, 20, 6, 2, 1))).select("a", "b")
 
     found = components(linked(members, verify, near))
     told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")
