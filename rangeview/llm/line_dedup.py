@@ -169,6 +169,51 @@ def _met(batches):
         yield from emit(*(np.concatenate(x) for x in zip(*held)))
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance of two texts is at most ``most``.
+
+    What they begin and end with alike is cut off; texts of one length may be told by their unequal places; the rest
+    is Myers' bit-parallel distance with a whole column of the table in one integer.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in (a, b))
+    n = min(len(x), len(y))
+    head = n if (x[:n] == y[:n]).all() else int(np.argmax(x[:n] != y[:n]))
+    x, y = x[head:], y[head:]
+    n = min(len(x), len(y))
+    tail = x[len(x) - n :][::-1] != y[len(y) - n :][::-1]
+    tail = int(np.argmax(tail)) if tail.any() else n
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    if max(len(x), len(y)) <= most or len(x) == len(y) and np.count_nonzero(x != y) <= most:
+        return True
+    if not len(x) or not len(y):
+        return False
+    at = {c: int.from_bytes(np.packbits(x == c, bitorder="little").tobytes(), "little") for c in np.unique(x).tolist()}
+    whole, top = (1 << len(x)) - 1, len(x) - 1
+    up, down, score, left = whole, 0, len(x), len(y)
+    for c in y.tolist():
+        equal = at.get(c, 0)
+        vertical = equal | down
+        across = (((equal & up) + up) ^ up) | equal
+        more, less = down | (whole & ~(across | up)), up & across
+        score += (more >> top & 1) - (less >> top & 1)
+        left -= 1
+        if score - left > most:
+            return False
+        more, less = (more << 1) | 1, less << 1
+        up, down = (less | ~(vertical | more)) & whole, more & vertical & whole
+    return score <= most
+
+
+def _alike(batches):
+    """(a, b) of the rows (a, b, text, text) whose edit similarity is at least ``SIMILARITY``."""
+    for b in batches:
+        texts = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
+        keep = [within(x, y, int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)) for x, y in texts]
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, text): the normalised text of each line whose hash is in ``wanted`` (h).
 
@@ -214,10 +259,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def verify(pairs: DataFrame) -> DataFrame:
         one = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
         two = one.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        longest = F.greatest(F.length("ta"), F.length("tb"))
-        two = two.withColumn("most", F.floor(longest * (1 - SIMILARITY) + 1e-9).cast("int"))
-        # the time of a bounded distance grows with its bound: most links are told by a small one
-        return two.where(" or ".join(f"levenshtein(ta, tb, int(most / {k})) >= 0" for k in (80, 20, 6, 2, 1))).select("a", "b")
+        return two.select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
     found = components(linked(members, verify, near))
     told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")

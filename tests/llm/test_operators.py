@@ -315,3 +315,15 @@ def test_partner_search_loses_no_near_line(long, monkeypatch):
         np.fill_diagonal(near, False)
         assert not (near.any(1) & ~got[bucket == g * 16]).any()
     assert got.sum() < 1500
+
+
+def test_bounded_edit_distance():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a = "".join(rng.choice(list("abé\U0001f600 "), rng.integers(0, 40)))
+        b = list(a)
+        for _ in range(rng.integers(0, 12)):
+            k = int(rng.integers(0, len(b) + 1))
+            b[k : k + int(rng.integers(0, 2))] = rng.choice(list("abx"), rng.integers(0, 2)).tolist()
+        b = "".join(b)
+        assert all(line_dedup.within(a, b, m) == (edit(a, b) <= m) for m in (0, 1, 3, 7, 40)), (a, b)
