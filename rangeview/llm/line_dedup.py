@@ -257,8 +257,8 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = written(_texts(docs, near_lines.select("h")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
+        one = pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
+        two = one.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
         return two.select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
     found = components(linked(members, verify, near))

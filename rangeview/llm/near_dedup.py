@@ -133,8 +133,9 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     texts = written(base.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        two = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        # a head's text goes out once to many pairs while they are small; the join after it is dealt by the other, even side
+        one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+        two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
         def check(batches):
             for b in batches:
