@@ -31,10 +31,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("node", "component")
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, rounds: int = 2) -> DataFrame:
-    """(a, b) edges that connect exactly what all verified pairs within buckets would connect.
+def meeting(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, id, weight, sig) of buckets with more than one of them, and the bucket's size ``n``, as a written table."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return written(members.join(sizes, "bucket"))
+
 
-    ``members``: (bucket, id, weight, and what ``near`` looks at as struct ``sig``). ``verify`` takes distinct pairs
+def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, rounds: int = 2) -> DataFrame:
+    """(node, component): the connected components that all verified pairs within buckets would make, as components() gives them.
+
+    ``shared``: what meeting() gives of (bucket, id, weight, and what ``near`` looks at as struct ``sig``). ``verify`` takes distinct pairs
     (a, b), b a bucket's head where there is one, and returns those that are links. ``near``, if given, is a necessary condition on two sigs.
 
     All pairs of a bucket are never formed. In each round the heaviest unlinked member of a bucket (copies, then the
@@ -43,13 +49,10 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near=No
     that still share a bucket are held against each other, so no link is lost and a group of n near copies costs
     about n comparisons.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = written(members.join(sizes, "bucket"))
     rank = shared.groupBy("id").agg(F.sum("n").alias("reach"))
     shared2 = written(shared.join(rank, "id").select("bucket", "id", "sig", F.struct(-F.col("weight"), -F.col("reach"), F.col("id")).alias("order")))
-    forget(shared)
     tried = None
-    edges = None
+    edges = found = None
     current = shared2.withColumn("comp", F.col("id"))
     for k in range(rounds + 1):
         mixed = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("order", "id", "sig", "comp")).alias("head")).where("lo < hi")
@@ -79,7 +82,7 @@ def linked(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near=No
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.union(both)
         edges = links if edges is None else edges.union(links)
+        found = components(edges)
         if k < rounds:
-            found = components(edges)
             current = shared2.join(found, shared2.id == found.node, "left").select("bucket", "id", "sig", "order", F.coalesce("component", "id").alias("comp"))
-    return edges if edges is not None else pairs.select("a", "b")
+    return found if found is not None else components(pairs)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeview.llm.common import bitmap, byte_chunks, session, text_of, written
-from rangeview.llm.groups import components, linked
+from rangeview.llm.groups import linked, meeting
 from rangeview.llm.vec import WORDS, mix, powers, prefix_hash, span_hash, words
 
 #: SimHashes of linked lines differ in at most so many of 64 bits.
@@ -261,7 +261,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         two = one.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
         return two.select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
-    found = components(linked(members, verify, near))
+    found = linked(meeting(members), verify, near)
     told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")
     return lines, told(kinds.where("n > 1"), "left").union(told(near_lines.where("n = 1"), "inner"))
 

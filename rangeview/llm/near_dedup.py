@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rangeview.llm.common import byte_chunks, session, summed, text_of, written
-from rangeview.llm.groups import components, linked
+from rangeview.llm.groups import linked, meeting
 from rangeview.llm.vec import U, mix, shingles, word_hashes
 
 SIZE = 5
@@ -113,8 +113,8 @@ def similarity(left: tuple, right: tuple, weights: np.ndarray) -> np.ndarray:
     return both / np.maximum(total - both, 1e-12)
 
 
-def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(a, b): text ids (xxhash64 of the text) whose links connect all texts of weighted Jaccard similarity >= threshold that share a band."""
+def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(node, component) of text ids (xxhash64 of the text): linked are texts of weighted Jaccard similarity >= threshold that share a band."""
     spark = session(docs)
     base = docs.select(F.xxhash64(text_of()).alias("id"), text_of().alias("text"))
     weights = spark.sparkContext.broadcast(idf_weights(docs))
@@ -128,8 +128,8 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo + row], BANDS)), pa.array(np.tile(np.arange(BANDS), len(row)).astype(np.int64) + (bands.view(np.int64).ravel() & ~np.int64(15)))], names=["id", "bucket"])
 
     members = written(base.mapInArrow(sign, "id long, bucket long").groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("weight")))
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = members.join(shared, "bucket").select("id").distinct()
+    shared = meeting(members.select("bucket", "id", "weight", F.lit(0).alias("sig")))
+    wanted = shared.select("id").distinct()
     texts = written(base.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def near_links(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
         return two.mapInArrow(check, "a long, b long")
 
-    return linked(members.select("bucket", "id", "weight", F.lit(0).alias("sig")), verify)
+    return linked(shared, verify)
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -165,7 +165,7 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     has none). Repeated rows are in one class; an empty table gives an empty result; other columns are not looked at.
     """
     own = docs.select("doc_id", F.xxhash64(text_of()).alias("id"))
-    found = components(near_links(docs, threshold))
+    found = near_groups(docs, threshold)
     at = own.join(found, own.id == found.node, "left").select("doc_id", F.coalesce("component", "id").alias("c"))
     sizes = at.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return at.join(sizes, "c").select("doc_id", "class_id", "class_size")
@@ -175,7 +175,7 @@ def keep_one(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """The row with the smallest doc_id of each class, with all columns; of equal (doc_id, text) any one, null ids last."""
     key = F.xxhash64(text_of())
     own = docs.select("doc_id", key.alias("id"))
-    found = components(near_links(docs, threshold))
+    found = near_groups(docs, threshold)
     at = own.join(found, own.id == found.node, "left").groupBy(F.coalesce("component", "id").alias("c"), "doc_id", "id").agg(F.count(F.lit(1)).alias("n"))
     best = at.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id", "n")).alias("w"))
     best = written(best.select(F.col("w.doc_id").alias("_kd"), F.col("w.id").alias("_ki"), F.col("w.n").alias("_kn")))
