@@ -37,30 +37,38 @@ def meeting(members: DataFrame) -> DataFrame:
     return written(members.join(sizes, "bucket"))
 
 
-def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, rounds: int = 2) -> DataFrame:
+#: Rounds of heads at most; pairs of different components, for each row of a bucket, that the last step may look at without another round.
+ROUNDS, FEW = 2, 1
+
+
+def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None) -> DataFrame:
     """(node, component): the connected components that all verified pairs within buckets would make, as components() gives them.
 
     ``shared``: what meeting() gives of (bucket, id, weight, and what ``near`` looks at as struct ``sig``). ``verify`` takes distinct pairs
     (a, b), b a bucket's head where there is one, and returns those that are links. ``near``, if given, is a necessary condition on two sigs.
 
-    All pairs of a bucket are never formed. In each round the heaviest unlinked member of a bucket (copies, then the
-    sum of the sizes of the buckets it is in: the middle of a cloud of near copies is in most) is held against the
-    others. Members that a round has linked belong to one component; afterwards only pairs of different components
-    that still share a bucket are held against each other, so no link is lost and a group of n near copies costs
-    about n comparisons.
+    All pairs of a bucket are never formed. In each round one member of a bucket, its head, is held against those of
+    other components: first the heaviest (copies, then the sum of the sizes of the buckets it is in: the middle of a
+    cloud of near copies is in most), then one drawn by hash, another in each bucket and round, so that the parts of a
+    cloud without a middle meet by many different pairs. Members that a round has linked belong to one component.
+    Rounds end when the pairs of different components that still share a bucket are few against the rows of the buckets,
+    or after ``ROUNDS``; those pairs are all held against each other, so no link is lost. A group of n near copies thus
+    costs some n comparisons, but a cloud whose texts are mostly just under the threshold stays in many components and
+    costs up to n^2 / 2.
     """
     rank = shared.groupBy("id").agg(F.sum("n").alias("reach"))
     shared2 = written(shared.join(rank, "id").select("bucket", "id", "sig", F.struct(-F.col("weight"), -F.col("reach"), F.col("id")).alias("order")))
-    tried = None
-    edges = found = None
+    rows = shared2.count()
+    tried = edges = found = None
     current = shared2.withColumn("comp", F.col("id"))
-    for k in range(rounds + 1):
-        mixed = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("order", "id", "sig", "comp")).alias("head")).where("lo < hi")
-        if k < rounds:
-            # the largest component of a bucket has had its turn; later rounds take the heaviest member outside it
-            if k:
-                head = current.join(mixed.select("bucket", F.col("head.comp").alias("first")), "bucket").where("comp != first")
-                mixed = head.groupBy("bucket").agg(F.min(F.struct("order", "id", "sig", "comp")).alias("head"))
+    for k in range(ROUNDS + 1):
+        if k:
+            parts = current.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+            open_pairs = parts.agg(F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("p")).first().p or 0
+        last = k == ROUNDS or k > 0 and open_pairs <= FEW * rows
+        order = F.col("order") if not k else F.xxhash64("bucket", "id", F.lit(k))
+        mixed = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("order"), "id", "sig", "comp")).alias("head")).where("lo < hi")
+        if not last:
             left = current.join(mixed.select("bucket", F.col("head.id").alias("hid"), F.col("head.sig").alias("hsig"), F.col("head.comp").alias("hcomp")), "bucket").where("comp != hcomp")
             if near is not None:
                 left = left.where(near(F.col("sig"), F.col("hsig")))
@@ -76,13 +84,14 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=Non
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
-        if not pairs.limit(1).collect():
+        if pairs.limit(1).collect():
+            links = written(verify(pairs).select("a", "b"))
+            both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            tried = both if tried is None else tried.union(both)
+            edges = links if edges is None else edges.union(links)
+            found = components(edges)
+        if last:
             break
-        links = written(verify(pairs).select("a", "b"))
-        both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        tried = both if tried is None else tried.union(both)
-        edges = links if edges is None else edges.union(links)
-        found = components(edges)
-        if k < rounds:
+        if found is not None:
             current = shared2.join(found, shared2.id == found.node, "left").select("bucket", "id", "sig", "order", F.coalesce("component", "id").alias("comp"))
     return found if found is not None else components(pairs)
