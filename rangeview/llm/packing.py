@@ -9,24 +9,12 @@ from pyspark.sql import Window as W
 
 from rangeview.llm.common import text_of
 
-#: Lengths up to this are bucket boundaries each by itself; longer ones are rounded up to 1/256 of their power of two.
-EXACT_LENGTHS = 8192
-
 
 def n_tokens(text: Column) -> Column:
     """Runs of characters other than the six ASCII blanks."""
     return F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).cast("long")
 
 
-def rounded(length: Column) -> Column:
-    """The length, or beyond EXACT_LENGTHS the next multiple of 1/256 of the power of two below it.
-
-    So the histogram has at most EXACT_LENGTHS + 256 entries a doubling, however long the texts are.
-    """
-    step = F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(1)) - 0.5)) - 8).cast("long"))
-    return F.when(length <= EXACT_LENGTHS, length).otherwise(F.ceil(length / step) * step).cast("long")
-
-
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """The at most ``buckets`` boundaries of least total padding; each is one of the lengths, the last the largest.
 
@@ -76,8 +64,8 @@ def pack(docs: DataFrame, token_budget: int = 16384, buckets: int = 16) -> DataF
     """Put every document in a length bucket and a batch.
 
     ``docs``: (doc_id, text). Lengths are blank-separated tokens of whole texts. The exact histogram of all lengths
-    (its size bounded by ``rounded``) goes to the driver, where ``best_boundaries`` chooses the boundaries with the
-    least padding. A batch of bucket b holds max(1, token_budget // b) documents padded to b (bucket 0, of texts without
+    goes to the driver, where ``best_boundaries`` chooses the boundaries with the least padding. Its distinct lengths
+    are at most sqrt(2 * all tokens) + 1, since k different lengths need k (k - 1) / 2 tokens. A batch of bucket b holds max(1, token_budget // b) documents padded to b (bucket 0, of texts without
     tokens, as if b were 1). In a bucket documents are ordered by (md5 of the doc_id, doc_id, md5 of the text), a fixed shuffle; their
     ranks are found from counts of 256 ranges of that md5 and a sort inside each range, finer ranges where the input
     is larger, so no task sees a whole bucket and the ranks do not depend on the ranges.
@@ -86,14 +74,14 @@ def pack(docs: DataFrame, token_budget: int = 16384, buckets: int = 16) -> DataF
     doc_id counts as the text ""; repeated rows stand next to each other; an empty table gives an empty result;
     other columns are not looked at.
     """
-    base = docs.select("doc_id", n_tokens(text_of()).alias("n_tokens"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), F.md5(text_of().cast("binary")).alias("th")).withColumn("length", rounded(F.col("n_tokens")))
-    histogram = base.groupBy("length").agg(F.count(F.lit(1)).alias("n")).orderBy("length").collect()
-    lengths, counts = np.array([r.length for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64)
+    base = docs.select("doc_id", n_tokens(text_of()).alias("n_tokens"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"), F.md5(text_of().cast("binary")).alias("th"))
+    histogram = base.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").collect()
+    lengths, counts = np.array([r.n_tokens for r in histogram], np.int64), np.array([r.n for r in histogram], np.int64)
     bounds = best_boundaries(lengths, counts, buckets)
     bucket = F.lit(bounds[-1] if bounds else 0).cast("long")
     for b in reversed(bounds[:-1]):
-        bucket = F.when(F.col("length") <= b, F.lit(b).cast("long")).otherwise(bucket)
-    placed = base.withColumn("bucket", bucket).drop("length")
+        bucket = F.when(F.col("n_tokens") <= b, F.lit(b).cast("long")).otherwise(bucket)
+    placed = base.withColumn("bucket", bucket)
     # ranges of the md5: 16^2, and 16 times as many for every 16 times over 25 million rows
     digits = 2
     while int(counts.sum() if len(counts) else 0) > 100_000 * 16**digits:
@@ -113,7 +101,7 @@ def pack(docs: DataFrame, token_budget: int = 16384, buckets: int = 16) -> DataF
     )
 
 
-#: DuckDB SQL for ``pack`` with its defaults, for texts of at most EXACT_LENGTHS tokens.
+#: DuckDB SQL for ``pack`` with its defaults.
 def pack_sql(table: str = "documents", token_budget: int = 16384, buckets: int = 16) -> str:
     return f"""
 WITH RECURSIVE base AS (

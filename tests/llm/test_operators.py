@@ -178,6 +178,12 @@ def test_packing_keeps_every_row_within_the_budget(spark, corpus):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_long_texts_have_exact_boundaries(spark):
+    lengths = [20020, 9001, 9003, 8193, 40]
+    got = packing.pack(frame(spark, [(i, "w " * n) for i, n in enumerate(lengths)]), buckets=len(lengths)).toPandas()
+    assert sorted(got.bucket) == sorted(got.n_tokens) == sorted(lengths) and (got.padding == 0).all()
+
+
 def test_tiling_finds_reordered_passages(spark, corpus):
     rng = np.random.default_rng(9)
     item = prose(rng, 30).split(" ")
