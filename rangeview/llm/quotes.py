@@ -36,14 +36,50 @@ def _passages(text: Column) -> Column:
     return parsed, F.transform(F.filter(F.split(joined, _MARK), lambda p: p != ""), lambda p: F.struct(F.substring_index(p, _GAP, 1).cast("int").alias("level"), F.substring_index(p, _GAP, -1).alias("body")))
 
 
+def _pieces(text: Column) -> Column:
+    """array<string>: the normalised sentences of each line in their order; a line without an end of sentence is one piece."""
+    cut = F.split(text, r"\n|(?<=[.!?\x{2026}\x{3002}])[ \t]+")
+    return F.filter(F.transform(cut, normalised), lambda p: p != "")
+
+
+def _in_order(pieces: Column, held: Column) -> Column:
+    """Whether ``held`` has all of ``pieces`` in their order, with others between them or not."""
+
+    def step(at: Column, piece: Column) -> Column:
+        found = F.array_position(F.slice(held, at + 1, F.size(held)), piece).cast("int")
+        return F.when((at >= 0) & (found > 0), at + found).otherwise(F.lit(-1))
+
+    return F.aggregate(pieces, F.lit(0), step) >= 0
+
+
+def _holders(quotes: DataFrame, own: DataFrame) -> DataFrame:
+    """(conv_id, pkey, holder): the earliest message of ``own`` (conv_id, turn, text) that holds a passage's pieces in order.
+
+    A passage of one piece needs the piece's first message only. Of several pieces the one that the fewest messages
+    hold picks the messages to look at, each distinct passage once, however often it is quoted.
+    """
+    asked = quotes.select("conv_id", "pkey", "pieces").distinct()
+    want = asked.select("conv_id", "pkey", F.size("pieces").alias("k"), F.explode(F.array_distinct("pieces")).alias("piece"))
+    texts = own.select("conv_id", "turn", _pieces(F.col("text")).alias("held"))
+    places = texts.select("conv_id", "turn", F.explode(F.array_distinct("held")).alias("piece")).join(want.select("conv_id", "piece").distinct(), ["conv_id", "piece"], "left_semi")
+    known = places.groupBy("conv_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("holder"))
+    found = want.join(known, ["conv_id", "piece"], "left")
+    single = found.where("k = 1 and n is not null").select("conv_id", "pkey", "holder")
+    rarest = found.where("k > 1").groupBy("conv_id", "pkey").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r")).where("r.n > 0")
+    near = rarest.select("conv_id", "pkey", F.col("r.piece").alias("piece")).join(places, ["conv_id", "piece"]).select("conv_id", "pkey", "turn")
+    several = near.join(asked, ["conv_id", "pkey"]).join(texts, ["conv_id", "turn"]).where(_in_order(F.col("pieces"), F.col("held")))
+    return single.union(several.groupBy("conv_id", "pkey").agg(F.min("turn").alias("holder")))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """Link quoted passages to the messages they come from and drop the quotes.
 
     ``messages``: (conv_id, turn, role, text). A line's quote level is its number of leading ``>`` (spaces between
     them allowed). Each run of lines of one level is a passage. A passage's hash is taken of its normalised text; the
     units a quote can come from are a message's own text as a whole, its runs of unquoted lines, its paragraphs and its lines.
-    A passage is linked to the earliest message of the same conversation that has a unit of the same hash and stands
-    before the quoting message. ``reply_to`` is the latest turn linked at the lowest linked level; a thread is a message
+    A quote can also be a part: its pieces, the sentences of its lines, are looked for in the message's own pieces, all of
+    them in their order, with others between them or not. A passage is linked to the earliest message of the same
+    conversation that has a unit of the same hash or holds its pieces so, and stands before the quoting message. ``reply_to`` is the latest turn linked at the lowest linked level; a thread is a message
     that replies to none, with everything that replies to it, directly or not.
 
     Returns (conv_id, turn, role, text, n_quotes, n_linked, reply_to, thread, depth), a row for each message, sorted by
@@ -63,9 +99,9 @@ def link_quotes(messages: DataFrame) -> DataFrame:
         .withColumn("_lines", parsed)
         .select("conv_id", "turn", F.posexplode(passages).alias("place", "p"))
         .where("p.level > 0")
-        .select("conv_id", "turn", "place", F.col("p.level").alias("level"), normalised(F.col("p.body")).alias("body"))
+        .select("conv_id", "turn", "place", F.col("p.level").alias("level"), normalised(F.col("p.body")).alias("body"), _pieces(F.col("p.body")).alias("pieces"))
         .where("body != ''")
-        .select("conv_id", "turn", "place", "level", F.xxhash64("body").alias("hash"), F.sha2("body", 256).alias("sha"))
+        .select("conv_id", "turn", "place", "level", F.xxhash64("body").alias("hash"), F.sha2("body", 256).alias("sha"), "pieces", F.sha2(F.array_join("pieces", "\n"), 256).alias("pkey"))
     )
     quotes = written(quotes)
     wanted = quotes.select("conv_id", "hash").distinct()
@@ -77,7 +113,8 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     units = own.select("conv_id", "turn", F.explode(F.array_distinct(F.concat(whole, blocks, paragraphs, lines))).alias("unit")).select("conv_id", "turn", normalised(F.col("unit")).alias("body")).where("body != ''")
     units = units.select("conv_id", "turn", F.xxhash64("body").alias("hash"), F.sha2("body", 256).alias("sha"))
     first = units.join(wanted, ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash", "sha").agg(F.min("turn").alias("origin"))
-    links = quotes.join(first, ["conv_id", "hash", "sha"], "left").select("conv_id", "turn", "place", "level", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
+    holders = _holders(quotes, own.withColumn("text", F.regexp_replace("text", _QUOTED, "")))
+    links = quotes.join(first, ["conv_id", "hash", "sha"], "left").join(holders, ["conv_id", "pkey"], "left").withColumn("origin", F.least("origin", "holder")).select("conv_id", "turn", "place", "level", F.when(F.col("origin") < F.col("turn"), F.col("origin")).alias("origin"))
     best = F.max(F.when(F.col("origin").isNotNull(), F.struct(-F.col("level"), F.col("origin"))))
     parents = links.groupBy("conv_id", "turn").agg(F.countDistinct("place").alias("n_quotes"), F.countDistinct(F.when(F.col("origin").isNotNull(), F.col("place"))).alias("n_linked"), best.alias("b"))
     # (turn, place) repeats only where rows repeat; a link goes up by doubling until every message knows its root

@@ -293,6 +293,20 @@ def test_quotes(spark):
     assert quotes.link_quotes(df.limit(0)).count() == 0
 
 
+def test_partial_quotes(spark):
+    lines = ["We leave at nine.", "Bring a coat", "and good shoes.", "Lunch is paid. Dinner is not.", "Bus 7 goes there."]
+    rows = [
+        (1, 0, "\n".join(lines)), (1, 1, "One and two.\n\nThree here\nand four.\n\nFive."), (1, 2, "> Bring a coat\n> and good shoes.\nWhy?"), (1, 3, "> One and two.\n>\n> Three here\n> and four.\nyes"),
+        (1, 4, "> dinner is not\nPity"), (1, 5, "> We leave at nine.\n> [...]\n> Bus 7 goes there.\nok"), (1, 6, "> and good shoes.\n> Bring a coat\nturned"), (1, 7, "> Lunch is paid. Dinner is not.\n> Bus 7 goes there.\n>> Pity\nlast"),
+        (1, 8, "> Bring a coat\n> Five.\nof two messages"), (1, 9, "> see later\n> and more\nx"), (1, 10, "first\nsee later\nand more\nend"), (2, 1, "> Bring a coat\n> and good shoes.\nelsewhere"), (1, 11, "Bring a coat\nand good shoes."),
+        (1, 12, "> Bring a coat\n> and good shoes.\nagain"),
+    ]
+    df = spark.createDataFrame([(c, t, "u", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.n_quotes, r.n_linked, r.reply_to, r.thread) for r in quotes.link_quotes(df).collect()}
+    assert got[1, 2] == (1, 1, 0, 0) and got[1, 3] == (1, 1, 1, 1) and got[1, 4] == (1, 1, 0, 0) and got[1, 5] == (1, 1, 0, 0) and got[1, 12] == (1, 1, 0, 0)
+    assert got[1, 6] == (1, 0, None, 6) and got[1, 7] == (2, 2, 0, 0) and got[1, 8] == (1, 0, None, 8) and got[1, 9] == (1, 0, None, 9) and got[2, 1] == (1, 0, None, 1)
+
+
 def test_urls(spark):
     urls = ["https://A.example.org/en/1?x", "http://b.example.org/en/2", "http://x.example.org/es/9", "http://q.com/fr/1", "http://q.com/de/1#t", "http://q.com", "no url", None, "http://bad.net/spam/1", "http://bad.net/spam/2", "http://bad.net/ok/1"]
     pages = spark.createDataFrame(list(enumerate(urls)) + [(100 + i, f"http://bad.net/spam/{i}") for i in range(40)] + [(200 + i, f"http://bad.net/ok/{i}") for i in range(40)] + [(None, "http://bad.net/ok/1")], "page_id long, url string").withColumn("host", F.lit("clash"))
