@@ -86,7 +86,7 @@ def decode(token: str, model: np.ndarray) -> str:
         new: dict[tuple[str, str], tuple[float, str]] = {}
         for (a, b), (weight, out) in best.items():
             for x, cost in options:
-                w = weight + cost + float(model[at(a), at(b), at(x)])
+                w = weight + cost + model[at(a)][at(b)][at(x)]
                 if (b, x) not in new or (w, out + x) > new[b, x]:
                     new[b, x] = w, out + x
             if drop is not None and (not letter or b == c):
@@ -94,52 +94,82 @@ def decode(token: str, model: np.ndarray) -> str:
                 if (a, b) not in new or (w, out) > new[a, b]:
                     new[a, b] = w, out
         best = new or {k: (w + DROP, out) for k, (w, out) in best.items()}
-    return max((w + float(model[at(a), at(b), 0]), out) for (a, b), (w, out) in best.items())[1]
+    return max((w + model[at(a)][at(b)][0], out) for (a, b), (w, out) in best.items())[1]
 
 
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
+_SIGNS = re.escape("".join(LEET))
+_SPACED = re.compile(rf"(?<!\S)(?:(?:[^\W\d_]|[{_SIGNS}])[ .\-_*]){{2,}}(?:[^\W\d_]|[{_SIGNS}])(?!\w)")
 _TOKEN = re.compile(r"\S+")
+_HEAD, _TAIL, _RUN = re.compile(rf"[^\w{_SIGNS}]*"), re.compile(rf"[^\w{_SIGNS}]*$"), re.compile(r"(.)\1\1")
+_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
-def restore(text: str, model: np.ndarray, cache: dict[str, str] | None = None) -> str:
-    """The text with spelled-out, repeated and disguised words decoded; other words, blanks and marks stay."""
+def restore(text: str, model, cache: dict[str, str] | None = None) -> str:
+    """The text with spelled-out, repeated and disguised words decoded; other words, blanks and marks stay.
+
+    Every token that holds a letter beside a sign or digit is decoded, signs at its ends included; where the likeliest
+    reading only drops signs at the ends, they are marks and the token stays. Spelled out are runs of four single
+    characters, letters or signs of ``LEET`` and at least one letter, and of three if one of them is such a sign.
+    """
     cache = {} if cache is None else cache
 
-    def word(token: str) -> str:
-        head = re.match(r"[^\w@$]*", token)[0]
-        tail = re.search(r"[^\w]*$", token[len(head) :])[0]
-        core = token[len(head) : len(token) - len(tail)]
-        if len(core) < 3 or not any(c.isalpha() for c in core):
-            return token
-        odd = any(not c.isalpha() for c in core)
-        if not odd and not re.search(r"(.)\1\1", core):
-            return token
-        if odd and sum(c.isalpha() for c in core) * 2 < len(core):
-            return token
+    def read(core: str) -> str:
         if core not in cache:
             if len(cache) > 200_000:
                 cache.clear()
             cache[core] = decode(core, model)
-        return head + cache[core] + tail
+        return cache[core]
+
+    def word(token: str) -> str:
+        if token.isalpha() and not _RUN.search(token):
+            return token
+        head = _HEAD.match(token)[0]
+        tail = _TAIL.search(token, len(head))[0]
+        core = token[len(head) : len(token) - len(tail)]
+        odd = not core.isalpha()
+        if odd and not any(c.isalpha() for c in core) or not odd and not _RUN.search(core):
+            return token
+        out = read(core)
+        if odd and out == _EDGE.sub("", core).lower():
+            return token
+        return head + out + tail
+
+    def spaced(m: re.Match) -> str:
+        run = re.sub(r"[ .\-_*]", "", m[0])
+        letters = sum(c.isalpha() for c in run)
+        return m[0] if not letters or len(run) == letters == 3 else read(run)
 
-    text = _SPACED.sub(lambda m: decode(re.sub(r"[ .\-_*]", "", m[0]), model), text)
-    return _TOKEN.sub(lambda m: word(m[0]), text)
+    return _TOKEN.sub(lambda m: word(m[0]), _SPACED.sub(spaced, text))
+
+
+_LEET_BYTE, _PART_BYTE, _GAP_BYTE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in ("".join(LEET).encode() + b"_", b" .-_*", b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "))
 
 
 def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that hold a sign or digit between two word characters, a letter three times, or four single letters in a row."""
+    """Rows that restore() may change, none left out.
+
+    These hold a sign of ``LEET`` or a low line in one token with a letter, another sign between letters, a letter three
+    times, three single characters in a row, or any byte beyond ASCII.
+    """
     kind, low = _KIND[data], _LETTERS[data]
     n = len(data)
-    odd = np.zeros(n, bool)
+    odd = data >= 128
+    leet, gap = _LEET_BYTE[data], _GAP_BYTE[data]
+    token = np.cumsum(kind == 0)
+    lettered = np.zeros(int(token[-1]) + 1 if n else 1, bool)
+    lettered[token[kind == 1]] = True
+    odd |= leet & lettered[token]
     if n > 2:
         sign = kind == 2
         odd[1:-1] |= sign[1:-1] & (kind[:-2] != 0) & (kind[2:] != 0) & ((kind[:-2] == 1) | (kind[2:] == 1))
-        odd[2:] |= (low[2:] != 0) & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2]) & (low[2:] < 128)
-        # a disguise can open a word; marks before a word are brackets and quotes
-        odd[:-1] |= np.isin(data[:-1], np.frombuffer(b"@$0123456789", np.uint8)) & (kind[1:] == 1)
-    if n > 7:
-        alone = (kind == 1) & np.concatenate([[True], kind[:-1] != 1]) & np.concatenate([kind[1:] != 1, [True]])
-        odd[6:] |= alone[6:] & alone[4:-2] & alone[2:-4] & alone[:-6]
+        odd[2:] |= (low[2:] != 0) & (low[2:] == low[1:-1]) & (low[1:-1] == low[:-2])
+    if n > 4:
+        edge = np.zeros(n + 1, bool)
+        edge[offsets] = True
+        item, part = (kind == 1) | leet, _PART_BYTE[data]
+        begins = edge[:-1] | np.concatenate([[True], gap[:-1]])
+        ends = edge[1:] | np.concatenate([kind[1:] != 1, [True]])
+        odd[:-4] |= begins[:-4] & item[:-4] & part[1:-3] & item[2:-2] & part[3:-1] & item[4:] & ends[4:]
     rows = np.zeros(len(offsets) - 1, bool)
     rows[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
     return rows
@@ -147,6 +177,7 @@ def _suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def _restored(texts: pa.Array, model: np.ndarray, cache: dict):
     """(first row, bytes, offsets) like byte_chunks, of the restored texts."""
+    model = model.tolist()  # plain lists are read faster than single numbers of an array
     for lo, hi, data, offsets in byte_chunks(texts):
         rows = np.flatnonzero(_suspects(data, offsets)) if len(data) else []
         if len(rows):

@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -242,6 +243,22 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), empty, "s").count() == 0
 
 
+def test_disguises_at_ends_and_between_blanks():
+    rng = np.random.default_rng(12)
+    plain = " ".join(rng.choice(["idiot", "ass", "trash", "loser", "moron", *WORDS[:20]], 20_000))
+    texts = [plain, "note (here) and there! it ends, 40% more", "a b c", ""]
+    chars = toxicity.char_model(toxicity.char_counts([pa.record_batch([pa.array(texts)], ["text"])]))
+    want = {"1d10t": "idiot", "l0$3r": "loser", "7r4$h": "trash", "a$$": "ass", "idio7": "idiot", "an idio7.": "an idiot.", "i d 1 o t": "idiot", "1 d 1 o t": "idiot", "a $ $": "ass", "m.0.r.0.n": "moron", "!d!ot": "idiot"}
+    assert {k: toxicity.restore(k, chars) for k in want} == want
+    assert [toxicity.restore(t, chars) for t in ("idiot! (moron) 40% 1 2 3 4 apples, a b c", "")] == ["idiot! (moron) 40% 1 2 3 4 apples, a b c", ""]
+    pool = np.array(list("aabdiost  .-_*,'()!$@01347é\n\x1f"))
+    rows = ["".join(rng.choice(pool, int(rng.integers(0, 12)))) for _ in range(4000)] + list(want)
+    raw = [r.encode() for r in rows]
+    got = toxicity._suspects(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    changed = np.array([toxicity.restore(r, chars) != r for r in rows])
+    assert changed.sum() > 500 and not (changed & ~got).any(), [r for r, c, g in zip(rows, changed, got) if c and not g][:5]
+
+
 def test_hmm(spark, corpus):
     rng = np.random.default_rng(8)
     normal = lambda *n: (lambda a: a / a.sum(-1, keepdims=True))(rng.random(n))
