@@ -25,12 +25,12 @@ SYMBOLS = 32767
 RARE = SYMBOLS
 STATES = 8
 ROUNDS = 4
-#: Longest piece of a training text that Baum-Welch takes at once; scoring always takes whole texts.
-PIECE = 512
-#: Texts from which the first guess of the states is made, at most.
-GUESS_TEXTS = 2000
-#: Tokens that a task holds at once.
-HOLD = 2_000_000
+#: Steps of forward and backward that are held at once; longer texts are gone through by blocks, whole all the same.
+BLOCK = 1 << 20
+#: Tokens that a task holds at once, and those that a round of the first guess looks at together.
+HOLD, GUESS_HOLD = 2_000_000, 1 << 18
+#: Rounds of the mixture that the first guess is made by.
+GUESS_ROUNDS = 15
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,10 +85,8 @@ class Model:
     emit: np.ndarray
 
 
-def _pieces(ids: list[np.ndarray], longest: int | None):
-    """Sequences in falling order of length: (flat ids, first places, lengths)."""
-    if longest:
-        ids = [s[k : k + longest] for s in ids for k in range(0, len(s), longest)]
+def _flat(ids: list[np.ndarray]):
+    """Sequences in falling order of length: (flat ids, first places, lengths, order)."""
     n = np.array([len(s) for s in ids], np.int64)
     order = np.argsort(-n, kind="stable")
     flat = np.concatenate(ids) if len(ids) else np.zeros(0, np.int64)
@@ -97,7 +95,7 @@ def _pieces(ids: list[np.ndarray], longest: int | None):
 
 def forward(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     """The natural logarithm of each sequence's probability; all sequences step together, each to its own end."""
-    flat, first, n, order = _pieces(ids, None)
+    flat, first, n, order = _flat(ids)
     out, total = np.zeros(len(ids)), np.zeros(len(ids))
     if not len(ids):
         return out
@@ -114,51 +112,67 @@ def forward(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def expected(model: Model, ids: list[np.ndarray], longest: int = PIECE) -> np.ndarray:
-    """Expected counts of starts, moves and emissions and the log likelihood, as one array, by forward and backward."""
+def expected(model: Model, ids: list[np.ndarray], longest: int = BLOCK) -> np.ndarray:
+    """Expected counts of starts, moves and emissions and the log likelihood, as one array, by forward and backward.
+
+    Sequences are taken whole. Of those with more than ``longest`` steps a first pass keeps the forward values at the
+    borders of blocks; from the last block to the first they are made anew, and backward values go over the borders.
+    """
     s = len(model.start)
-    flat, first, n, _ = _pieces(ids, longest)
+    flat, first, n, _ = _flat(ids)
     emit_counts, moves, starts, loglik = np.zeros((SYMBOLS + 1, s)), np.zeros((s, s)), np.zeros(s), 0.0
-    if len(n):
-        alive = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")
-        place = np.concatenate([[0], np.cumsum(alive)])
-        ids_t = flat[np.concatenate([first[: alive[t]] + t for t in range(len(alive))])]
+    alive = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right") if len(n) else np.zeros(0, np.int64)
+
+    def ahead(lo, border):
+        """(ids, observations, forward values, scales, places) of the steps of the block from ``lo``, after ``border``."""
+        own = alive[lo : lo + longest]
+        place = np.concatenate([[0], np.cumsum(own)])
+        ids_t = flat[np.concatenate([first[:k] + lo + t for t, k in enumerate(own)])]
         obs = model.emit[ids_t]
         alphas, scales = np.empty_like(obs), np.empty(len(obs))
-        for t, k in enumerate(alive):
+        for t, k in enumerate(own):
             here = slice(place[t], place[t + 1])
-            a = (model.start if not t else alphas[place[t - 1] : place[t - 1] + k] @ model.move) * obs[here]
+            a = (border[:k] @ model.move if lo + t else model.start) * obs[here]
             c = a.sum(1)
             scales[here] = c
-            alphas[here] = a / c[:, None]
-        loglik = float(np.log(scales).sum())
-        beta = np.ones((alive[-1], s))
-        gamma = alphas  # overwritten from the end, after its last use
-        for t in range(len(alive) - 1, 0, -1):
-            k, here, before = alive[t], slice(place[t], place[t + 1]), slice(place[t - 1], place[t - 1] + alive[t])
+            alphas[here] = border = a / c[:, None]
+        return ids_t, obs, alphas, scales, place, border
+
+    blocks, borders = list(range(0, len(alive), longest)), [None]
+    for lo in blocks[:-1]:
+        borders.append(ahead(lo, borders[-1])[-1])
+    beta = np.ones((alive[-1], s)) if len(n) else None
+    for lo, border in zip(reversed(blocks), reversed(borders)):
+        ids_t, obs, alphas, scales, place, _ = ahead(lo, border)
+        loglik += float(np.log(scales).sum())
+        for t in range(len(place) - 2, -1, -1):
+            here = slice(place[t], place[t + 1])
+            if lo + t == 0:
+                alphas[here] *= beta
+                starts = alphas[here].sum(0)
+                break
+            k = alive[lo + t]
+            before = alphas[place[t - 1] : place[t - 1] + k] if t else border[:k]
             weight = obs[here] * beta / scales[here, None]
-            moves += alphas[before].T @ weight
-            back = np.ones((alive[t - 1], s))
+            moves += before.T @ weight
+            back = np.ones((alive[lo + t - 1], s))
             back[:k] = weight @ model.move.T
-            gamma[here] = gamma[here] * beta
+            alphas[here] *= beta  # of no more use as forward values
             beta = back
-        gamma[: alive[0]] = gamma[: alive[0]] * beta
-        starts = gamma[: alive[0]].sum(0)
-        moves *= model.move
         for k in range(s):
-            emit_counts[:, k] = np.bincount(ids_t, gamma[:, k], SYMBOLS + 1)
-    return np.concatenate([starts, moves.ravel(), emit_counts.ravel(), [loglik]])
+            emit_counts[:, k] += np.bincount(ids_t, alphas[:, k], SYMBOLS + 1)
+    return np.concatenate([starts, (moves * model.move).ravel(), emit_counts.ravel(), [loglik]])
 
 
-def _held(batches, column: int, chosen=None):
-    """Lists of id arrays of about HOLD tokens."""
+def _held(batches, column: int, hold: int = HOLD):
+    """Lists of id arrays of about ``hold`` tokens."""
     out, held = [], 0
     for b in batches:
         for raw in b.column(column).to_pylist():
             ids = np.frombuffer(raw, "<u2")
             out.append(ids)
             held += len(ids)
-            if held >= HOLD:
+            if held >= hold:
                 yield out
                 out, held = [], 0
     if out:
@@ -171,30 +185,70 @@ def estimate(counts: np.ndarray, share: np.ndarray, s: int) -> Model:
     return Model((starts + 0.1) / (starts.sum() + 0.1 * s), (moves + 0.1) / (moves.sum(1, keepdims=True) + 0.1 * s), (emits + 5 * share[:, None]) / (emits.sum(0) + 5))
 
 
-def first_guess(ids: list[np.ndarray], share: np.ndarray, s: int) -> Model:
-    """States from a mixture of unigrams over a bounded sample of texts: seeds far apart, 15 rounds of EM."""
-    ids = [i for i in ids if len(i)] or [np.array([RARE])]
-    rows, cols = np.repeat(np.arange(len(ids)), [len(i) for i in ids]), np.concatenate(ids).astype(np.int64)
-    logs = np.log(share)
+def distances(ids: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
+    """(texts, states): the sums of the log weights ``logs`` (SYMBOLS + 1, states) over each text's tokens."""
     lengths = np.array([len(i) for i in ids])
-    seed, emits = int(np.argmax(lengths)), []
-    nearest = np.full(len(ids), -np.inf)
-    for _ in range(s):
-        own = np.bincount(ids[seed].astype(np.int64), minlength=SYMBOLS + 1)
-        e = (own + 50 * share) / (own.sum() + 50)
-        emits.append(e)
-        nearest = np.maximum(nearest, np.bincount(rows, (np.log(e) - logs)[cols], len(ids)) / lengths)
-        far = np.where(lengths >= np.median(lengths), nearest, np.inf)
-        seed = int(np.argmin(far))
+    return np.add.reduceat(logs[np.concatenate(ids)], np.cumsum(lengths) - lengths, axis=0)
+
+
+def mixture_counts(ids: list[np.ndarray], prior: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """Expected numbers of texts and of tokens of each state of a mixture of unigrams, as one array."""
+    s = len(prior)
+    ll = distances(ids, np.log(emit)) + np.log(prior)
+    r = np.exp((ll - ll.max(1, keepdims=True)) * 0.2)
+    r /= r.sum(1, keepdims=True)
+    cols = np.concatenate(ids)
+    each = np.repeat(r, [len(i) for i in ids], axis=0)
+    return np.concatenate([r.sum(0), np.stack([np.bincount(cols, each[:, k], SYMBOLS + 1) for k in range(s)], 1).ravel()])
+
+
+def first_guess(texts: DataFrame, share: np.ndarray, s: int) -> Model:
+    """States from a mixture of unigrams over all ``texts`` (ids), each whole: seeds far apart, then ``GUESS_ROUNDS`` of EM.
+
+    The first seed is the longest text, each other one that of at least the median length which the seeds before it
+    fit least. The driver gets one text for a seed and one array of counts for a round.
+    """
+    spark = texts.sparkSession
+    move = np.full((s, s), 0.3 / s) + 0.7 * np.eye(s)
+    n_texts, median = texts.agg(F.count(F.lit(1)), F.percentile(F.length("ids"), 0.5)).head()
+    if not n_texts:
+        return Model(np.full(s, 1 / s), move, np.repeat(share[:, None], s, 1))
+    logs, emits = np.log(share), []
+    seed = texts.orderBy(F.length("ids").desc(), "ids").limit(1).collect()[0].ids
+    while True:
+        own = np.bincount(np.frombuffer(seed, "<u2"), minlength=SYMBOLS + 1)
+        emits.append((own + 50 * share) / (own.sum() + 50))
+        if len(emits) == s:
+            break
+        shared = spark.sparkContext.broadcast(np.log(np.stack(emits, 1)) - logs[:, None])
+
+        def far(batches, shared=shared):
+            best = None
+            for held in _held(batches, 0, GUESS_HOLD):
+                fit = distances(held, shared.value).max(1) / np.array([len(i) for i in held])
+                k = min(np.flatnonzero(fit == fit.min()), key=lambda k: held[k].tobytes())
+                best = min(x for x in (best, (float(fit[k]), held[k].tobytes())) if x)
+            if best:
+                yield pa.RecordBatch.from_pydict({"fit": pa.array([best[0]]), "ids": pa.array([best[1]], pa.binary())})
+
+        seed = texts.where(F.length("ids") >= median).mapInArrow(far, "fit double, ids binary").orderBy("fit", "ids").limit(1).collect()[0].ids
+        shared.unpersist()
     emit, prior = np.stack(emits, 1), np.full(s, 1 / s)
-    for _ in range(15):
-        ll = np.stack([np.bincount(rows, np.log(emit[:, k])[cols], len(ids)) for k in range(s)], 1) + np.log(prior)
-        r = np.exp((ll - ll.max(1, keepdims=True)) * 0.2)
-        r /= r.sum(1, keepdims=True)
-        prior = (r.sum(0) + 1) / (len(ids) + s)
-        emit = np.stack([np.bincount(cols, r[rows, k], SYMBOLS + 1) for k in range(s)], 1)
+    for _ in range(GUESS_ROUNDS):
+        shared = spark.sparkContext.broadcast((prior, emit))
+
+        def add(batches, shared=shared):
+            out = np.zeros(1)
+            for held in _held(batches, 0, GUESS_HOLD):
+                out = out + mixture_counts(held, *shared.value)
+            return out
+
+        counts = summed(texts, add, s + (SYMBOLS + 1) * s)
+        shared.unpersist()
+        prior = (counts[:s] + 1) / (n_texts + s)
+        emit = counts[s:].reshape(SYMBOLS + 1, s)
         emit = (emit + 50 * share[:, None]) / (emit.sum(0) + 50)
-    return Model(prior, np.full((s, s), 0.3 / s) + 0.7 * np.eye(s), emit)
+    return Model(prior, move, emit)
 
 
 def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
@@ -203,8 +257,8 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
     Tokens are runs of bytes other than the ASCII blanks, A-Z lower-cased, and one end for each text. The counts of all
     training tokens are exact. The ``SYMBOLS`` most frequent tokens are the model's symbols; every other token is the symbol
     RARE times its share (c + 0.5) / (C + 0.5 (V + 1)) among the rare ones, so the probabilities of all tokens and one
-    unknown token sum to 1. Baum-Welch starts from a mixture of unigrams over at most ``GUESS_TEXTS`` texts and runs
-    ``rounds`` times over all training texts, long ones in pieces of ``PIECE`` tokens; counts are added on the executors.
+    unknown token sum to 1. Baum-Welch starts from a mixture of unigrams over all training texts and runs
+    ``rounds`` times over all of them, each whole; counts are added on the executors.
     The score is the exact likelihood of the whole text by the scaled forward recursion.
 
     Counts of the ``HEAD`` most frequent tokens are broadcast (a fixed bound); the other tokens of each text are
@@ -271,12 +325,9 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
     coded = written(base.withColumn("row", F.monotonically_increasing_id()).mapInArrow(encode, schema))
 
     # Baum-Welch
-    texts = coded.where("training").select("ids")
-    n_texts = texts.count()
-    pick = texts.where(F.pmod(F.xxhash64("ids"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 0.95 * GUESS_TEXTS / max(n_texts, 1))))
-    sample = [np.frombuffer(r.ids, "<u2") for r in pick.select(F.substring("ids", 1, 4 * PIECE).alias("ids")).limit(GUESS_TEXTS).collect()]
-    sample.sort(key=lambda i: i.tobytes())
-    model = first_guess(sample, share, states)
+    # a task sends its whole array of counts in each round, so there are few tasks; nothing is shuffled for that
+    texts = coded.where("training").select("ids").coalesce(2 * spark.sparkContext.defaultParallelism)
+    model = first_guess(texts, share, states)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)
 

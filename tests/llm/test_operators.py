@@ -298,6 +298,27 @@ def test_hmm(spark, corpus):
     assert hmm.score(frame(spark, []), train, rounds=1).count() == 0
 
 
+def test_hmm_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(10)
+    normal = lambda *n: (lambda a: a / a.sum(-1, keepdims=True))(rng.random(n))
+    emit = np.zeros((hmm.SYMBOLS + 1, 3))
+    emit[:4] = normal(3, 4).T
+    model = hmm.Model(normal(3), normal(3, 3), emit)
+    seqs = [rng.integers(0, 4, n).astype(np.uint16) for n in (1300, 700, 40, 1, 13, 26)]
+    whole = hmm.expected(model, seqs)
+    assert whole[:3].sum() == pytest.approx(len(seqs)) and whole[3:12].sum() == pytest.approx(sum(map(len, seqs)) - len(seqs))
+    assert whole[-1] == pytest.approx(hmm.forward(model, seqs).sum())
+    assert all(np.allclose(hmm.expected(model, seqs, longest=k), whole) for k in (1, 13, 512))
+    # the first guess sees every token of every text: symbols at the end of a long text and in a text beyond the 2,000th
+    share = np.full(hmm.SYMBOLS + 1, 1 / (hmm.SYMBOLS + 1))
+    texts = [np.r_[np.zeros(3000), np.full(3000, 7)]] + [np.full(3, k % 5) for k in range(2500)]
+    df = spark.createDataFrame([(x.astype("<u2").tobytes(),) for x in texts], "ids binary").repartition(3)
+    guess = hmm.first_guess(df, share, 2)
+    assert guess.start.sum() == pytest.approx(1) and guess.emit.sum(0) == pytest.approx(np.ones(2)) and guess.emit[7].max() > 0.3
+    a = hmm.mixture_counts([x.astype(np.int64) for x in texts], guess.start, guess.emit)
+    assert a[:2].sum() == pytest.approx(len(texts)) and a[2:].sum() == pytest.approx(sum(map(len, texts)))
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> Hello there.\n> How are you?\nFine thanks!\n\nAnd you?"), (1, 2, "u", "> > how are YOU\n> Fine thanks!\nGood"),
