@@ -137,6 +137,12 @@ def display_truncate_ascii(spark, d):
     return df.select("doc_id", display(F.col("text"), T.StringType(), 64).alias("text"))
 
 
+@query()
+def display_truncate(spark, d):
+    """All documents within 64 bytes, whole characters only; no SQL, tested against brute force."""
+    return t(spark, d, "documents").select("doc_id", display(F.col("text"), T.StringType(), 64).alias("text"))
+
+
 @query("SELECT l_orderkey, l_linenumber, nullif(l_returnflag, 'N') AS flag FROM lineitem")
 def display_null(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", display(F.nullif(F.col("l_returnflag"), F.lit("N")), T.StringType()).alias("flag"))

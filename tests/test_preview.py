@@ -8,6 +8,7 @@ from rangeview.functions import sheet, text, tree
 from rangeview.functions.display import display, float_text
 from rangeview.model import PreviewError, Range, clamped
 from rangeview.operators import window
+from rangeview.plans import catalogue
 
 
 def one(spark, column, kind, value, **kw):
@@ -37,6 +38,19 @@ def test_truncation_keeps_whole_characters(spark):
     assert one(spark, "c", T.ArrayType(T.LongType()), [1, 2, 3], elements=2) == "[1, 2, ... [truncated]]"
 
 
+def test_truncation_of_all_documents_equals_brute_force(spark, tmp_path):
+    texts = [None, "", "a" * 64, "a" * 65, "é" * 32, "é" * 33, *("a" * k + c * 40 for k in range(5) for c in ("é", "漢", "\U0001f600"))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def shown(x):
+        return x if x is None or len(x.encode()) <= 64 else x.encode()[: 64 - len("... [truncated]")].decode(errors="ignore") + "... [truncated]"
+
+    for folder in (str(tmp_path), "/root/testdata/sf0.001"):
+        want = {r.doc_id: shown(r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+        got = catalogue.QUERIES["display_truncate"](spark, folder).collect()
+        assert len(got) == len(want) and {r.doc_id: r.text for r in got} == want
+
+
 def test_ranges():
     assert clamped(Range(8, 5, 1, 9), 10, 3, "columnar") == (Range(8, 2, 1, 2), False)
     assert clamped(Range(20, 5, 0, 3), 10, 3, "record")[0].row_count == 0
