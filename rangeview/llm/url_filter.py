@@ -85,16 +85,21 @@ def judge_urls(
         tree = written(here.join(rare, ["host", "template", "segment"], "left").select("host", "path", "n", "labelled", "good", "parts", F.concat("template", step).alias("template")))
     tree = tree.select("host", "path", "n", "labelled", "good", F.when(F.col("template") == "", "/").otherwise(F.col("template")).alias("template"))
     nodes = tree.groupBy("host", "template").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
-    # sibling branches: the same template but for the first segment
-    tail = F.regexp_replace("template", r"^/[^/]*", "/{}")
-    nodes = nodes.withColumn("sibling", tail)
-    pooled = nodes.groupBy("host", "sibling").agg(F.sum("labelled").alias("all_labelled"), F.sum("good").alias("all_good"))
-    nodes = nodes.join(pooled, ["host", "sibling"])
-    rest_n, rest_good = F.col("all_labelled") - F.col("labelled"), F.col("all_good") - F.col("good")
-    share = F.col("all_good") / F.greatest(F.col("all_labelled"), F.lit(1))
-    error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.01)) * (1 / F.greatest(F.col("labelled"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
-    alike = (F.col("labelled") == 0) | (rest_n == 0) | (F.abs(F.col("good") / F.greatest(F.col("labelled"), F.lit(1)) - rest_good / F.greatest(rest_n, F.lit(1))) < similar_z * error)
-    nodes = nodes.withColumn("merged", F.when(alike, F.col("sibling")).otherwise(F.col("template")))
+    nodes = nodes.withColumn("merged", F.col("template"))
+    # sibling branches: the same template but for one segment, from the last place to the first; what is merged goes on as one
+    for place in range(depth - 1, -1, -1):
+        sibling = F.regexp_replace("merged", r"^((?:/[^/]*){%d})/[^/]*" % place, "$1/{}")
+        one = nodes.groupBy("host", "merged").agg(F.sum("labelled").alias("own_labelled"), F.sum("good").alias("own_good")).withColumn("sibling", sibling)
+        pooled = one.groupBy("host", "sibling").agg(F.sum("own_labelled").alias("all_labelled"), F.sum("own_good").alias("all_good"), F.count(F.lit(1)).alias("branches"))
+        one = one.join(pooled, ["host", "sibling"])
+        rest_n, rest_good = F.col("all_labelled") - F.col("own_labelled"), F.col("all_good") - F.col("own_good")
+        share = F.col("all_good") / F.greatest(F.col("all_labelled"), F.lit(1))
+        error = F.sqrt(F.greatest(share * (1 - share), F.lit(0.01)) * (1 / F.greatest(F.col("own_labelled"), F.lit(1)) + 1 / F.greatest(rest_n, F.lit(1))))
+        alike = (F.col("own_labelled") == 0) | (rest_n == 0) | (F.abs(F.col("own_good") / F.greatest(F.col("own_labelled"), F.lit(1)) - rest_good / F.greatest(rest_n, F.lit(1))) < similar_z * error)
+        if place:
+            alike = alike & (F.col("branches") > 1)
+        to = one.select("host", "merged", F.when(alike, F.col("sibling")).otherwise(F.col("merged")).alias("to"))
+        nodes = written(nodes.join(to, ["host", "merged"]).drop("merged").withColumnRenamed("to", "merged"))
     final = nodes.groupBy("host", "merged").agg(F.sum("labelled").alias("labelled"), F.sum("good").alias("good"))
     hosts = nodes.groupBy("host").agg(F.sum("labelled").alias("host_labelled"), F.sum("good").alias("host_good"))
     every = paths.agg((F.coalesce(F.sum("good"), F.lit(0.0)) + 1).alias("g"), (F.coalesce(F.sum("labelled"), F.lit(0)) + 2).alias("l")).head()

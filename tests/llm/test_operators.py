@@ -359,6 +359,16 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0), labels.limit(0)).count() == 0
 
 
+def test_deep_siblings_are_merged(spark):
+    # under /shop the branches en and de are alike and bad, fr has no labels; the rest of the host is good
+    kinds = [("shop/en/offer", 0, 30), ("shop/de/offer", 0, 30), ("shop/fr/offer", None, 5), ("help/en/text", 1, 60)]
+    rows = [(f"http://h.org/{p}/{i}", g) for p, g, n in kinds for i in range(n)]
+    pages = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, g) for k, (_, g) in enumerate(rows) if g is not None], "page_id long, good int")
+    got = {r.path.rsplit("/", 1)[0]: (r.template, r.verdict) for r in url_filter.judge_urls(pages, labels, rules=[]).collect()}
+    assert got["/shop/fr/offer"] == got["/shop/en/offer"] == got["/shop/de/offer"] == ("/{}/{}/offer/*", "block") and got["/help/en/text"][1] == "allow"
+
+
 @pytest.mark.parametrize("long", [4, 64])
 def test_partner_search_loses_no_near_line(long, monkeypatch):
     monkeypatch.setattr(line_dedup, "LONG", long)
