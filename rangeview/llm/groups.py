@@ -13,22 +13,41 @@ from rangeview.llm.common import forget, written
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the undirected edges (a, b); component is the smallest node of each.
 
-    Labels fall by the smallest label next to them and then by their label's label, so a star needs two rounds and a
-    path of n nodes about log n. Each round is a written table; no link or label comes to the driver. Empty edges give
-    an empty table; loops and repeated edges change nothing.
+    In each round a node points to the smallest of itself and its neighbours, pointers are followed to their end, and
+    the ends become the nodes of the next round, with the edges between different ends only. A star is one node after
+    one round; a round at least halves the nodes that still have edges. Each step is a written table; no link or label
+    comes to the driver. Empty edges give an empty table; loops and repeated edges change nothing.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    left = written(edges.select("a", "b").union(edges.select("b", "a")).where("a is not null and b is not null").distinct())
+    labels = None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        least = labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("c"), F.col("component").alias("was"))
-        above = labels.select(F.col("node").alias("c"), F.col("component").alias("over"))
-        new = written(least.join(above, "c").select("node", F.col("over").alias("component"), (F.col("over") < F.col("was")).alias("moved")))
-        forget(labels)
-        labels = new
-        if not labels.where("moved").limit(1).collect():
-            forget(both)
-            return labels.select("node", "component")
+        ends = _followed(written(left.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("end"))))
+        one = left.join(ends.select(F.col("node").alias("a"), F.col("end").alias("ea")), "a")
+        two = one.join(ends.select(F.col("node").alias("b"), F.col("end").alias("eb")), "b")
+        less = written(two.where("ea != eb").select(F.col("ea").alias("a"), F.col("eb").alias("b")).distinct())
+        forget(left)
+        if labels is None:
+            new = written(ends.select("node", F.col("end").alias("component")))
+        else:
+            step = ends.select(F.col("node").alias("component"), "end")
+            new = written(labels.join(step, "component", "left").select("node", F.coalesce("end", "component").alias("component")))
+            forget(labels)
+        forget(ends)
+        left, labels = less, new
+        if not left.limit(1).collect():
+            forget(left)
+            return labels
+
+
+def _followed(points: DataFrame) -> DataFrame:
+    """``points`` (node, end) with every end followed to a node that points to itself, as a written table."""
+    while True:
+        far = points.select(F.col("node").alias("end"), F.col("end").alias("far"))
+        new = written(points.join(far, "end").select("node", F.col("far").alias("end"), (F.col("far") != F.col("end")).alias("moved")))
+        forget(points)
+        points = new
+        if not points.where("moved").limit(1).collect():
+            return points
 
 
 def meeting(members: DataFrame) -> DataFrame:
@@ -37,61 +56,123 @@ def meeting(members: DataFrame) -> DataFrame:
     return written(members.join(sizes, "bucket"))
 
 
+def _mixed(rows: DataFrame, order) -> DataFrame:
+    """The buckets of ``rows`` that hold several components, each with its head: the member that is first in ``order``."""
+    head = F.min(F.struct(order.alias("order"), "id", "sig", "comp")).alias("head")
+    return rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), head).where("lo < hi")
+
+
+def _open_pairs(rows: DataFrame) -> float:
+    """Pairs of different components that share a bucket, counted once for each bucket."""
+    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return parts.agg(F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("p")).first().p or 0
+
+
 #: Rounds of heads at most; pairs of different components, for each row of a bucket, that the last step may look at without another round.
 ROUNDS, FEW = 2, 1
 
 
-def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None) -> DataFrame:
+class _Found:
+    """What the rounds have found: the pairs that were held against each other, and the components that the links make."""
+
+    def __init__(self, verify: Callable[[DataFrame], DataFrame]):
+        self.verify, self.pairs, self.components = verify, [], None
+
+    def hold(self, pairs: DataFrame) -> None:
+        """Verify those of ``pairs`` (a, b) that no round before has held against each other."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for tried in self.pairs:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = written(pairs)
+        self.pairs.append(pairs)
+        if self.components is None or pairs.limit(1).collect():
+            links = written(self.verify(pairs).select("a", "b"))
+            if self.components is None:
+                self.components = components(links)
+            elif links.limit(1).collect():
+                self._join(links)
+            forget(links)
+
+    def _join(self, links: DataFrame) -> None:
+        """Take in more links: only what they connect of the components so far is worked out anew."""
+        one = self.label(links.select(F.col("a").alias("id"), "b")).select(F.col("comp").alias("a"), F.col("b").alias("id"), "b")
+        between = components(self.label(one).select("a", F.col("comp").alias("b")))
+        step = between.select(F.col("node").alias("component"), F.col("component").alias("end"))
+        moved = self.components.join(step, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+        # a node whose first link this is stands for itself so far
+        fresh = between.join(self.components.select("node"), "node", "left_anti").select("node", "component")
+        new = written(moved.union(fresh))
+        for t in (self.components, between):
+            forget(t)
+        self.components = new
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of each id, its own id where it has no link."""
+        rows = rows.drop("comp")
+        if self.components is None:
+            return rows.withColumn("comp", F.col("id"))
+        own = self.components.select(F.col("node").alias("id"), "component")
+        return rows.join(own, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+
+    def close(self) -> DataFrame:
+        for t in self.pairs:
+            forget(t)
+        return self.components
+
+
+def _by_heads(found: _Found, rows: DataFrame, order, near) -> None:
+    """Hold each bucket's head against its members of other components."""
+    current = found.label(rows)
+    head = _mixed(current, order).select("bucket", F.col("head.id").alias("hid"), F.col("head.sig").alias("hsig"), F.col("head.comp").alias("hcomp"))
+    left = current.join(head, "bucket").where("comp != hcomp")
+    found.hold((left if near is None else left.where(near(F.col("sig"), F.col("hsig")))).select(F.col("id").alias("a"), F.col("hid").alias("b")))
+
+
+def _by_pairs(found: _Found, rows: DataFrame, near) -> None:
+    """Hold all members of different components of a bucket against each other, as far as ``near`` lets them."""
+    current = found.label(rows)
+    rest = current.join(_mixed(current, F.col("id")).select("bucket"), "bucket").select("bucket", "id", "sig", "comp")
+    other = rest.select("bucket", F.col("id").alias("oid"), F.col("sig").alias("osig"), F.col("comp").alias("ocomp"))
+    close = (F.col("id") < F.col("oid")) & (F.col("comp") != F.col("ocomp"))
+    if near is not None:
+        close = close & near(F.col("sig"), F.col("osig"))
+    found.hold(rest.join(other, (rest.bucket == other.bucket) & close).select(F.col("id").alias("a"), F.col("oid").alias("b")))
+
+
+def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, narrow=None) -> DataFrame:
     """(node, component): the connected components that all verified pairs within buckets would make, as components() gives them.
 
     ``shared``: what meeting() gives of (bucket, id, weight, and what ``near`` looks at as struct ``sig``). ``verify`` takes distinct pairs
-    (a, b), b a bucket's head where there is one, and returns those that are links. ``near``, if given, is a necessary condition on two sigs.
+    (a, b), a < b, and returns those that are links. ``near``, if given, is a necessary condition on two sigs. ``narrow``,
+    if given, takes the ids (id) that still share a bucket with another component and returns (members, near): buckets as
+    for meeting() in which every two of these ids that are linked meet, and the condition that both then fulfil.
 
     All pairs of a bucket are never formed. In each round one member of a bucket, its head, is held against those of
     other components: first the heaviest (copies, then the sum of the sizes of the buckets it is in: the middle of a
     cloud of near copies is in most), then one drawn by hash, another in each bucket and round, so that the parts of a
     cloud without a middle meet by many different pairs. Members that a round has linked belong to one component.
-    Rounds end when the pairs of different components that still share a bucket are few against the rows of the buckets,
-    or after ``ROUNDS``; those pairs are all held against each other, so no link is lost. A group of n near copies thus
-    costs some n comparisons, but a cloud whose texts are mostly just under the threshold stays in many components and
-    costs up to n^2 / 2.
+    With ``narrow`` the buckets serve one round of heads; what stays open goes on in the narrow buckets, where members
+    without links mostly meet nobody. Rounds end when the pairs of different components that still share a bucket are few
+    against the rows of the buckets, or after ``ROUNDS``; those pairs that ``near`` lets through are all held against each
+    other, so no link is lost.
     """
+    found = _Found(verify)
     rank = shared.groupBy("id").agg(F.sum("n").alias("reach"))
-    shared2 = written(shared.join(rank, "id").select("bucket", "id", "sig", F.struct(-F.col("weight"), -F.col("reach"), F.col("id")).alias("order")))
-    rows = shared2.count()
-    tried = edges = found = None
-    current = shared2.withColumn("comp", F.col("id"))
-    for k in range(ROUNDS + 1):
-        if k:
-            parts = current.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            open_pairs = parts.agg(F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("p")).first().p or 0
-        last = k == ROUNDS or k > 0 and open_pairs <= FEW * rows
-        order = F.col("order") if not k else F.xxhash64("bucket", "id", F.lit(k))
-        mixed = current.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(order.alias("order"), "id", "sig", "comp")).alias("head")).where("lo < hi")
-        if not last:
-            left = current.join(mixed.select("bucket", F.col("head.id").alias("hid"), F.col("head.sig").alias("hsig"), F.col("head.comp").alias("hcomp")), "bucket").where("comp != hcomp")
-            if near is not None:
-                left = left.where(near(F.col("sig"), F.col("hsig")))
-            pairs = left.select(F.col("id").alias("a"), F.col("hid").alias("b"))
-        else:
-            rest = current.join(mixed.select("bucket"), "bucket").select("bucket", "id", "sig", "comp")
-            other = rest.select("bucket", F.col("id").alias("oid"), F.col("sig").alias("osig"), F.col("comp").alias("ocomp"))
-            close = (F.col("id") < F.col("oid")) & (F.col("comp") != F.col("ocomp"))
-            if near is not None:
-                close = close & near(F.col("sig"), F.col("osig"))
-            pairs = rest.join(other, (rest.bucket == other.bucket) & close).select(F.col("id").alias("a"), F.col("oid").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        if pairs.limit(1).collect():
-            links = written(verify(pairs).select("a", "b"))
-            both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            tried = both if tried is None else tried.union(both)
-            edges = links if edges is None else edges.union(links)
-            found = components(edges)
-        if last:
+    rows = written(shared.join(rank, "id").select("bucket", "id", "sig", F.struct(-F.col("weight"), -F.col("reach"), F.col("id")).alias("order")))
+    _by_heads(found, rows, F.col("order"), near)
+    tables = [rows]
+    if narrow is not None:
+        current = found.label(rows)
+        left = written(current.join(_mixed(current, F.col("id")).select("bucket"), "bucket").select("id").distinct())
+        members, near = narrow(left)
+        rows = meeting(members)
+        tables += [left, rows]
+    n = rows.count()
+    for k in range(1, ROUNDS):
+        if _open_pairs(found.label(rows)) <= FEW * n:
             break
-        if found is not None:
-            current = shared2.join(found, shared2.id == found.node, "left").select("bucket", "id", "sig", "order", F.coalesce("component", "id").alias("comp"))
-    return found if found is not None else components(pairs)
+        _by_heads(found, rows, F.xxhash64("bucket", "id", F.lit(k)), near)
+    _by_pairs(found, rows, near)
+    for t in tables:
+        forget(t)
+    return found.close()

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rangeview.llm.common import byte_chunks, session, summed, text_of, written
+from rangeview.llm.common import byte_chunks, forget, session, summed, text_of, written
 from rangeview.llm.groups import linked, meeting
 from rangeview.llm.vec import U, mix, shingles, word_hashes
 
@@ -49,13 +50,8 @@ def _bucket(key: np.ndarray) -> np.ndarray:
     return (key >> U(_ID_BITS - DF_BITS)).astype(np.int64) & ((1 << DF_BITS) - 1)
 
 
-def idf_weights(docs: DataFrame) -> np.ndarray:
-    """The weight of every shingle bucket from its document frequency over all whole texts.
-
-    ln(1 / share of documents), between those of ``COMMON`` and ``VERY_COMMON``, over the largest. A text has some hundred
-    of the 2^18 buckets, so the frequency of a bucket is that of its one common shingle but for a share of about
-    shingles a text / 2^18, at any size of the input. Only text that many documents share is weighted down.
-    """
+def document_frequency(docs: DataFrame) -> np.ndarray:
+    """In how many texts each shingle bucket occurs, over all whole texts, and the number of texts."""
     session(docs)
 
     def frequency(batches):
@@ -69,7 +65,17 @@ def idf_weights(docs: DataFrame) -> np.ndarray:
                 total[-1] += hi - lo
         return total
 
-    df = summed(docs.select(text_of().alias("text")), frequency, (1 << DF_BITS) + 1)
+    return summed(docs.select(text_of().alias("text")), frequency, (1 << DF_BITS) + 1)
+
+
+def idf_weights(docs: DataFrame) -> np.ndarray:
+    """The weight of every shingle bucket from its document frequency over all whole texts.
+
+    ln(1 / share of documents), between those of ``COMMON`` and ``VERY_COMMON``, over the largest. A text has some hundred
+    of the 2^18 buckets, so the frequency of a bucket is that of its one common shingle but for a share of about
+    shingles a text / 2^18, at any size of the input. Only text that many documents share is weighted down.
+    """
+    df = document_frequency(docs)
     share = np.clip(df[:-1] / max(df[-1], 1), COMMON, VERY_COMMON)
     return (np.log(1 / share) / math.log(1 / COMMON)).astype(np.float32)
 
@@ -102,6 +108,24 @@ def signatures(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tu
     return row.astype(np.int64), out
 
 
+def prefixes(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray, df: np.ndarray, threshold: float):
+    """(row, shingle, total weight of the row, weight of the shingle and all after it) of the rarest shingles of each row.
+
+    A row's shingles are ordered by ``df`` and, within it, by their hash: one order for all rows. Two rows of similarity
+    >= threshold have at least threshold / (1 + threshold) of their joint weight in common, so the first shingle in that
+    order that both have lies, in each, before the rest falls under threshold times the row's weight.
+    """
+    key, tf = _bags(data, offsets)
+    ids, row, w = key & U((1 << _ID_BITS) - 1), (key >> U(_ID_BITS)).astype(np.int64), tf * weights[_bucket(key)].astype(np.float64)
+    order = np.lexsort((ids, df[_bucket(key)], row))
+    ids, row, w = ids[order], row[order], w[order]
+    total = np.bincount(row, w, len(offsets) - 1)[row] if len(row) else w
+    upto = np.cumsum(w) - w
+    rest = total - (upto - upto[np.searchsorted(row, row, "left")]) if len(row) else w
+    keep = rest >= total * threshold - 1e-6
+    return row[keep], ids[keep], total[keep], rest[keep]
+
+
 def similarity(left: tuple, right: tuple, weights: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of row i of ``left`` and row i of ``right``, each (bytes, offsets)."""
     n = len(left[1]) - 1
@@ -129,9 +153,26 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
     members = written(base.mapInArrow(sign, "id long, bucket long").groupBy("id", "bucket").agg(F.count(F.lit(1)).alias("weight")))
     shared = meeting(members.select("bucket", "id", "weight", F.lit(0).alias("sig")))
+    forget(members)
     wanted = shared.select("id").distinct()
     texts = written(base.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")))
 
+    def narrow(left: DataFrame) -> tuple[DataFrame, Callable]:
+        """Buckets of one rare shingle each: texts that are linked share one of the rarest of both."""
+        own = texts.join(left, "id", "left_semi")
+        rare = spark.sparkContext.broadcast(document_frequency(own))
+
+        def run(batches):
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                for lo, _, data, offsets in byte_chunks(b.column(1)):
+                    row, shingle, total, rest = prefixes(data, offsets, weights.value, rare.value, threshold)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(ids[lo + row]), pa.array(total), pa.array(rest)], names=["bucket", "id", "total", "rest"])
+
+        rows = own.select("id", "text").mapInArrow(run, "bucket long, id long, total double, rest double")
+        return rows.select("bucket", "id", F.struct("total", "rest").alias("sig")), lambda a, b: F.least(a.rest, b.rest) >= (a.total + b.total) * (threshold / (1 + threshold)) - 1e-6
+
     def verify(pairs: DataFrame) -> DataFrame:
         # a head's text goes out once to many pairs while they are small; the join after it is dealt by the other, even side
         one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
@@ -149,7 +190,10 @@ def near_groups(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
 
         return two.mapInArrow(check, "a long, b long")
 
-    return linked(shared, verify)
+    found = linked(shared, verify, narrow=narrow)
+    forget(shared)
+    forget(texts)
+    return found
 
 
 def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
@@ -167,7 +211,8 @@ def classes(docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64(text_of()).alias("id"))
     found = near_groups(docs, threshold)
     at = own.join(found, own.id == found.node, "left").select("doc_id", F.coalesce("component", "id").alias("c"))
-    sizes = at.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    # a table of its own, so that the join after it can be dealt anew where one class is very large
+    sizes = written(at.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")))
     return at.join(sizes, "c").select("doc_id", "class_id", "class_size")
 
 
