@@ -9,19 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rangeview.llm.common import bitmap, byte_chunks, session, text_of, written
+from rangeview.llm.common import bitmap, byte_chunks, forget, session, text_of, written
 from rangeview.llm.groups import linked, meeting
 from rangeview.llm.vec import WORDS, mix, powers, prefix_hash, span_hash, words
 
-#: SimHashes of linked lines differ in at most so many of 64 bits.
-DISTANCE = 3
-#: Five blocks; lines within the distance agree in at least two, so each pair of blocks is a key of 25 or 26 bits.
+#: A line's features are cut in five runs; the SimHash of each run is one block of the line's 64 bits.
 CUTS = (0, 13, 26, 39, 52, 64)
+#: Linked lines have SimHashes that differ in at most so many bits and agree in two blocks; each pair of blocks is a key of 25 or 26 bits.
+DISTANCE = 16
 SIMILARITY = 0.8
-#: Lines of fewer words are linked to equal lines only: their few features leave SimHash nothing to tell.
-MIN_WORDS = 5
+#: Features of a line are its words; of a line of fewer words, each byte of its words with the byte after it.
+FEW_WORDS = 10
+#: Lines of fewer characters have no other line within the similarity, since one edit of four characters leaves 0.75.
+LEAST_CHARS = 5
 PAIRS = tuple(combinations(range(5), 2))
-#: Rows of a bucket up to which all are compared; beyond, they are parted further.
+#: Rows of a bucket up to which all are compared at once; of a longer one, all rows go on and are compared in rounds.
 LONG = 64
 #: Rows of buckets that a task looks at together.
 STEP = 1 << 17
@@ -30,10 +32,44 @@ BITMAP_BITS = 26
 
 _FOLD = WORDS.copy()
 _FOLD[48:58] = 48
+#: Sizes of the five runs of a line of so few features that they do not fill them.
+_SMALL = np.array([[0, 0, 0, 0, 0], [1, 0, 0, 0, 0], [1, 0, 0, 0, 1], [1, 1, 0, 0, 1], [1, 1, 0, 1, 1]])
 
 
-def line_records(data: np.ndarray, offsets: np.ndarray):
-    """(row, line number, hash, SimHash, characters, words, first byte, end) of each line with words, of texts given as bytes."""
+def block_hashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The 64 bits of each line from the hashes of its ``counts`` features: each block is the SimHash of a run of them.
+
+    With w the greatest power of two of at most a fifth of the features (1 for fewer than ten), the runs are the first w, the next w, the rest, the
+    last but one w and the last w features. An edit moves the runs that it touches only, as those before it are counted from the start
+    and those after it from the end, so lines whose edits leave two runs alone agree in two blocks for certain but where w
+    differs; a run in which few of many features changed agrees with some luck. An empty run is zero.
+    """
+    out = np.zeros(len(counts), np.uint64)
+    if not len(h):
+        return out
+    low = h.astype("<u2")
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    # bits are counted for some thousand features at a time, so memory stays small
+    step = max(1, len(counts) * 40_000 // len(h))
+    for k in range(0, len(counts), step):
+        n = counts[k : k + step]
+        a, b = begins[k], ends[min(k + step, len(counts)) - 1]
+        w = 1 << np.frexp(np.maximum(n // 5, 1))[1].astype(np.int64) - 1
+        size = np.where((n < 5)[:, None], _SMALL[np.minimum(n, 4)], np.stack([w, w, n - 4 * w, w, w], 1)).ravel()
+        first = np.cumsum(size) - size
+        some = size > 0
+        bits = np.unpackbits(low[a:b].view(np.uint8).reshape(-1, 2), axis=1)
+        ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.uint32)
+        block = np.zeros(len(size), np.uint64)
+        block[some] = np.packbits(2 * ones > size[some, None], axis=1).view("<u2").ravel()
+        for i, (lo, hi) in enumerate(zip(CUTS, CUTS[1:])):
+            out[k : k + step] |= (block[i::5] & np.uint64((1 << hi - lo) - 1)) << np.uint64(lo)
+    return out
+
+
+def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    """(row, line number, hash, block SimHash, characters, words, first byte, end) of each line with words, of texts given as bytes; no SimHash if not ``hashed``."""
     breaks = np.flatnonzero(data == 10)
     doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
     start = np.concatenate([offsets[:-1], breaks + 1])
@@ -54,16 +90,18 @@ def line_records(data: np.ndarray, offsets: np.ndarray):
     chars = letters[lines[1:]] - letters[lines[:-1]] + counts - 1
     full = np.flatnonzero(counts)
     sim = np.zeros(len(full), np.uint64)
-    if len(full):
-        first = begins[full]
-        # bits are counted for some thousand words at a time, so memory stays small
-        step = max(1, len(full) * 20_000 // max(len(h), 1))
-        for k in range(0, len(full), step):
-            a, b = first[k], ends[full[min(k + step, len(full)) - 1]]
-            bits = np.unpackbits(h[a:b].view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, first[k : k + step] - a, axis=0, dtype=np.uint32)
-            half = counts[full[k : k + step], None]
-            sim[k : k + step] = np.packbits(2 * ones > half, axis=1).view(np.uint64).ravel()
+    few = (counts[full] < FEW_WORDS) & hashed
+    long = full[~few]
+    if hashed:
+        sim[~few] = block_hashes(h[np.repeat(counts >= FEW_WORDS, counts)], counts[long])
+    if few.any():
+        short = np.zeros(len(counts), bool)
+        short[full[few]] = True
+        at = np.flatnonzero((folded != 0) & np.repeat(short, np.diff(lines)))
+        of = np.searchsorted(lines, at, "right") - 1
+        after = np.where(at + 1 < lines[of + 1], np.append(folded, np.uint8(0))[at + 1], 0).astype(np.uint64)
+        signs = np.bincount(of, minlength=len(counts))
+        sim[few] = block_hashes(mix(folded[at].astype(np.uint64) << np.uint64(8) | after), signs[full[few]])
     end = np.append(start[1:] - (doc[1:] == doc[:-1]), len(data))
     return doc[full], number[full], own[full], sim, chars[full], counts[full], start[full], end[full]
 
@@ -81,12 +119,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for lo, _, data, offsets in byte_chunks(b.column(2)):
-                row, number, own, sim, chars, n, _, _ = line_records(data, offsets)
+                row, number, own, sim, chars, _, _, _ = line_records(data, offsets)
                 if len(row):
                     at = pa.array(lo + row)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number), pa.array(own.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars.astype(np.int64)), pa.array(n.astype(np.int64))], names=["doc_id", "th", "line", "h", "sim", "chars", "words"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number), pa.array(own.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars.astype(np.int64))], names=["doc_id", "th", "line", "h", "sim", "chars"])
 
-    return base.mapInArrow(read, "doc_id long, th long, line long, h long, sim long, chars long, words long")
+    return base.mapInArrow(read, "doc_id long, th long, line long, h long, sim long, chars long")
 
 
 def _key(sim: Column, k: Column) -> Column:
@@ -113,41 +151,13 @@ def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
     return keep
 
 
-def with_partner(bucket: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Of rows sorted by ``bucket``: those that may be near another row of it, none that is near left out.
-
-    Rows of a long bucket agree in its two blocks, so near ones also agree in one of four parts of the other three
-    blocks; only those are compared. A part that still has over ``LONG`` rows keeps them all.
-    """
-    keep = _close(bucket, sim, chars)
-    _, at, size = np.unique(bucket, return_inverse=True, return_counts=True)
-    long = np.flatnonzero(size[at] > LONG)
-    if len(long):
-        b, v = bucket[long], sim[long].view(np.uint64)
-        rest = np.zeros(len(long), np.uint64)
-        for k, pair in enumerate(PAIRS):
-            own = (b & 15) == k
-            for i in set(range(5)) - set(pair):
-                width = CUTS[i + 1] - CUTS[i]
-                part = (v[own] >> np.uint64(CUTS[i])) & np.uint64((1 << width) - 1)
-                rest[own] = (rest[own] << np.uint64(width)) | part
-        some = np.zeros(len(long), bool)
-        for q in range(4):
-            part = ((rest >> np.uint64(10 * q)) & np.uint64(1023)).astype(np.int64)
-            order = np.lexsort((part, b))
-            whole = np.cumsum(np.concatenate([[0], (b[order][1:] != b[order][:-1]) | (part[order][1:] != part[order][:-1])]))
-            some[order] |= _close(whole, sim[long][order], chars[long][order])
-        keep[long] = some
-    return keep
-
-
 def _met(batches):
     """(bucket, sim) of rows with a partner, of batches (sim, tag, bucket) sorted by bucket; tag is 16 * characters + key."""
     held: list[list[np.ndarray]] = []
     rows, wide = 0, None
 
     def emit(bucket, tag, sim):
-        keep = with_partner(bucket, sim, tag >> 4)
+        keep = _close(bucket, sim, tag >> 4)
         if wide is not None:
             keep |= bucket == wide
         if keep.any():
@@ -224,7 +234,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for _, _, data, offsets in byte_chunks(b.column(0)):
-                _, _, own, _, _, _, start, end = line_records(data, offsets)
+                _, _, own, _, _, _, start, end = line_records(data, offsets, hashed=False)
                 at = own & np.uint64((1 << BITMAP_BITS) - 1)
                 hit = np.flatnonzero(bits.value[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
                 _, once = np.unique(own[hit], return_index=True)
@@ -242,9 +252,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups): every line with words as (doc_id, th, line, h), and (h, group, n, first) of each distinct line that is repeated or linked."""
     lines = written(_lines(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
-    kinds = written(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars"), F.first("words").alias("words")))
+    kinds = written(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars")))
     # ten small rows a line are dealt once by their key; only lines with a near partner go on
-    tags = kinds.where(F.col("words") >= MIN_WORDS).select("sim", F.explode(F.array(*[F.col("chars") * 16 + k for k in range(len(PAIRS))])).alias("tag"))
+    tags = kinds.where(F.col("chars") >= LEAST_CHARS).select("sim", F.explode(F.array(*[F.col("chars") * 16 + k for k in range(len(PAIRS))])).alias("tag"))
     key = _key(F.col("sim"), F.col("tag").bitwiseAND(15).cast("int"))
     met = written(tags.repartition(key).withColumn("bucket", key).sortWithinPartitions("bucket").mapInArrow(_met, "bucket long, sim long").distinct())
     near_lines = written(kinds.join(met.select("sim").distinct(), "sim").select("h", "n", "first", "sim", "chars"))
@@ -261,18 +271,22 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         two = one.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
         return two.select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
-    found = linked(meeting(members), verify, near)
+    shared = meeting(members)
+    found = linked(shared, verify, near)
+    for t in (met, shared, texts):
+        forget(t)
     told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")
-    return lines, told(kinds.where("n > 1"), "left").union(told(near_lines.where("n = 1"), "inner"))
+    return lines, written(told(kinds.where("n > 1"), "left").union(told(near_lines.where("n = 1"), "inner")))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with one occurrence of each group of alike lines left in the whole table.
 
     ``docs``: (doc_id, text, ...). Lines end at line feeds. A line is normalised (A-Z lower-cased, digits as 0, runs of
-    other ASCII signs as one space); equal normalised lines are one group, and so are lines of at least ``MIN_WORDS``
-    words whose SimHashes (of their words) differ in at most ``DISTANCE`` bits and whose normalised texts have an edit
-    similarity of at least ``SIMILARITY``, with all that such links connect. Of each group the occurrence with
+    other ASCII signs as one space); equal normalised lines are one group, and so are lines whose normalised texts have an
+    edit similarity of at least ``SIMILARITY`` and whose block SimHashes (of their words; of pairs of their bytes in lines
+    of under ``FEW_WORDS`` words) agree in two of five blocks and differ in at most ``DISTANCE`` bits, with all that such links
+    connect. Of each group the occurrence with
     the smallest (doc_id, text hash, line number) stays, null ids last; all other lines of the group are taken out with their line feeds.
     Lines without a word always stay.
 
@@ -282,15 +296,23 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     session(docs)
     lines, group = groups(docs)
-    big = group.groupBy("group").agg(F.sum("n").alias("size"), F.min("first").alias("kept")).where("size > 1")
-    drop = lines.join(group.join(big, "group").select("h", "kept"), "h")
+    # tables of their own, so that the joins after them can be dealt anew where one group or line is very common
+    big = written(group.groupBy("group").agg(F.sum("n").alias("size"), F.min("first").alias("kept")).where("size > 1"))
+    kept = written(group.join(big, "group").select("h", "kept"))
+    drop = lines.join(kept, "h")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("th") == F.col("kept.th")) & (F.col("line") == F.col("kept.line"))
     drop = drop.where(~same).groupBy(F.col("doc_id").alias("_ld"), F.col("th").alias("_lt")).agg(F.collect_set(F.col("line").cast("int")).alias("_lines"))
     parts = F.split("text", "\n")
     left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_lines", i)), "\n")
-    out = docs.join(drop, docs.doc_id.cast("long").eqNullSafe(drop._ld) & (F.xxhash64(text_of()) == drop._lt), "left")
-    text = F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left)
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_lines").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("th"), "text")
+    out = rows.join(drop, rows.doc_id.eqNullSafe(drop._ld) & (rows.th == drop._lt), "left")
+    out = out.select("row", "_lines", F.when(F.col("_lines").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left).alias("text"))
+
+    def column(c: str) -> Column:
+        if c == "n_chars":
+            new = F.when(F.col("_lines").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema[c].dataType)
+        else:
+            new = F.col("text") if c == "text" else F.col("row").getField(c)
+        return new.alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeview.llm import ann, decontaminate, hmm, line_dedup, near_dedup, packing, quotes, suffix_dedup, toxicity, url_filter
+from rangeview.llm import ann, decontaminate, groups, hmm, line_dedup, near_dedup, packing, quotes, suffix_dedup, toxicity, url_filter
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "ra", "se", "to") for b in ("la", "ren", "sto", "vi", "x", "dor", "ming")]
 DOCS = "doc_id long, text string, id string, h long, score double"
@@ -110,6 +110,71 @@ def test_near_duplicates_equal_brute_force(spark, corpus):
     assert near_dedup.classes(frame(spark, [])).count() == 0
 
 
+def cloud(rng, n, size=150, most=40):
+    """Copies of one text, each with up to ``most`` words replaced: most pairs share bands, few reach the threshold."""
+    base = prose(rng, size).split(" ")
+    out = []
+    for k in range(n):
+        words = list(base)
+        for j, at in enumerate(rng.choice(size, int(rng.integers(0, most)), replace=False)):
+            words[at] = f"w{k}x{j}"
+        out.append(" ".join(words))
+    return out
+
+
+def test_a_cloud_of_near_misses_loses_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    texts = cloud(rng, 200, 150, 16) + cloud(rng, 40, 80, 4)
+    held = []
+
+    def counted(found, rows, near, own=groups._by_pairs):
+        own(found, rows, near)
+        held.append(sum(p.count() for p in found.pairs))
+
+    monkeypatch.setattr(groups, "_by_pairs", counted)
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(spark, rows), 0.6).collect()}
+    weights = near_dedup.idf_weights(frame(spark, rows))
+    sides = [(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if near_dedup.similarity(sides[a], sides[b], weights)[0] >= 0.6 - 1e-9]
+    root, least = merged(len(texts), links), {}
+    for k, r in enumerate(root):
+        least[r] = min(least.get(r, k), k)
+    assert got == {k: least[r] for k, r in enumerate(root)}
+    assert 20 < len(set(root)) < 200 and held[0] < 240 * 239 / 2 / 8, (len(set(root)), held)
+
+
+def test_prefixes_of_linked_texts_meet():
+    rng = np.random.default_rng(22)
+    texts = [t.encode() for t in cloud(rng, 60, 60, 14) + [prose(rng, 40), "one two", "", "a b c d e f"]]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    weights, df = rng.uniform(0.4, 1, 1 << near_dedup.DF_BITS).astype(np.float32), rng.integers(0, 9, 1 << near_dedup.DF_BITS).astype(float)
+    row, shingle, total, rest = near_dedup.prefixes(data, offsets, weights, df, 0.8)
+    own = [{s: (t, r) for s, t, r in zip(shingle[row == k].tolist(), total[row == k], rest[row == k])} for k in range(len(texts))]
+    linked = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        sides = [(np.frombuffer(texts[i], np.uint8), np.array([0, len(texts[i])])) for i in (a, b)]
+        if near_dedup.similarity(*sides, weights)[0] >= 0.8:
+            linked += 1
+            assert any(min(own[a][s][1], own[b][s][1]) >= (own[a][s][0] + own[b][s][0]) * 0.8 / 1.8 - 1e-6 for s in own[a].keys() & own[b].keys())
+    assert linked > 30
+
+
+def test_icws_samples_agree_as_often_as_texts_are_similar():
+    rng = np.random.default_rng(23)
+    weights = rng.uniform(0.37, 1, 1 << near_dedup.DF_BITS).astype(np.float32)
+    agree, want = [], []
+    for _ in range(150):
+        a = prose(rng, 120).split(" ")
+        b = a[: int(rng.integers(70, 120))] + prose(rng, 20).split(" ")
+        raw = [" ".join(x).encode() for x in (a, b)]
+        _, bands = near_dedup.signatures(np.frombuffer(b"".join(raw), np.uint8), np.array([0, len(raw[0]), len(raw[0]) + len(raw[1])]), weights)
+        agree.append((bands[0] == bands[1]).mean())
+        j = near_dedup.similarity(*[(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw], weights)[0]
+        want.append(j**near_dedup.ROWS)
+    assert np.mean(agree) == pytest.approx(np.mean(want), abs=0.04)
+
+
 def test_icws_estimates_weighted_similarity():
     rng = np.random.default_rng(5)
     a = prose(rng, 400).split(" ")
@@ -133,7 +198,9 @@ def test_lines_equal_brute_force(spark, corpus):
     rows = corpus[:30] + corpus[40:62]
     long = " ".join(WORDS * 2)
     rows = rows + [(500, long + "\nshort line"), (501, long.replace(" rala ", " rala7 ") + "\nShort  LINE!"), (502, long.upper() + ".")]
-    got = line_dedup.dedup_lines(frame(spark, rows))
+    rows += [(503, "Total due now\nsubscribe here!"), (504, "total dues now\nSubscribe heer"), (505, "ab\nac"), (506, "x1")]
+    got = line_dedup.dedup_lines(frame(spark, rows).withColumn("_lines", F.lit(1)).withColumn("th", F.lit(2)))
+    agree = lambda a, b: sum((a ^ b) >> lo & ((1 << hi - lo) - 1) == 0 for lo, hi in zip(line_dedup.CUTS, line_dedup.CUTS[1:]))
     lines = []
     for k, (i, t) in enumerate(rows):
         for n, x in enumerate((t or "").split("\n")):
@@ -145,7 +212,7 @@ def test_lines_equal_brute_force(spark, corpus):
         (a, b)
         for a, b in itertools.combinations(range(len(lines)), 2)
         for x, y in [(lines[a], lines[b])]
-        if x[4] == y[4] or min(len(x[4].split()), len(y[4].split())) >= 5 and (x[5] ^ y[5]).bit_count() <= 3 and edit(x[4], y[4]) <= 0.2 * max(len(x[4]), len(y[4]))
+        if x[4] == y[4] or (x[5] ^ y[5]).bit_count() <= line_dedup.DISTANCE and agree(x[5], y[5]) >= 2 and edit(x[4], y[4]) <= 0.2 * max(len(x[4]), len(y[4]))
     ]
     root = merged(len(lines), links)
     first = {}
@@ -154,8 +221,9 @@ def test_lines_equal_brute_force(spark, corpus):
     same = lambda a, b: lines[a][:2] == lines[b][:2] and lines[a][3] == lines[b][3] and rows[lines[a][2]] == rows[lines[b][2]]
     gone = {(lines[k][2], lines[k][3]) for k in range(len(lines)) if not same(k, first[root[k]])}
     want = [(i, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (k, n) not in gone)) for k, (i, t) in enumerate(rows)]
-    assert got.columns == ["doc_id", "text", "id", "h", "score"]
+    assert got.columns == ["doc_id", "text", "id", "h", "score", "_lines", "th"]
     assert sorted(map(tuple, got.select("doc_id", "text").collect()), key=str) == sorted(want, key=str)
+    assert {t for i, t in want if i in (504, 505, 506)} == {"", "ab\nac", "x1"}
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
@@ -369,20 +437,46 @@ def test_deep_siblings_are_merged(spark):
     assert got["/shop/fr/offer"] == got["/shop/en/offer"] == got["/shop/de/offer"] == ("/{}/{}/offer/*", "block") and got["/help/en/text"][1] == "allow"
 
 
-@pytest.mark.parametrize("long", [4, 64])
-def test_partner_search_loses_no_near_line(long, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LONG", long)
+def test_lines_of_edit_similarity_meet():
+    """The share of pairs at edit similarity 0.8 or more that block SimHashes bring together, by words and kind of edit."""
     rng = np.random.default_rng(1)
-    sim = (rng.integers(0, 2**63, 3000, dtype=np.int64) >> 26) << 26
-    sim[1::50] = sim[::50] ^ (1 << 30) ^ (1 << 45)
-    bucket = np.repeat(np.arange(10), 300) * 16
-    got = line_dedup.with_partner(bucket, sim, np.full(3000, 100))
-    for g in range(10):
-        own = sim[bucket == g * 16].view(np.uint64)
-        near = np.bitwise_count(own[:, None] ^ own[None, :]) <= 3
-        np.fill_diagonal(near, False)
-        assert not (near.any(1) & ~got[bucket == g * 16]).any()
-    assert got.sum() < 1500
+
+    def changed(words, kind, k):
+        words = list(words)
+        for _ in range(k):
+            at = int(rng.integers(0, len(words)))
+            w = words[at]
+            if kind == "letter":
+                i = int(rng.integers(0, len(w)))
+                words[at] = w[:i] + str(rng.choice(list("qxz"))) + w[i + int(rng.integers(0, 2)) :]
+            elif kind == "word":
+                words[at] = str(rng.choice(WORDS))
+            elif kind == "more":
+                words.insert(at, str(rng.choice(WORDS)))
+            elif len(words) > 1:
+                del words[at]
+        return words
+
+    met, total = {}, {}
+    for n in (1, 2, 3, 4, 6, 10, 15, 25, 50):
+        for kind, most in (("letter", 1), ("letter", 2), ("word", 1), ("more", 1), ("less", 1)):
+            pairs = []
+            for _ in range(300):
+                a = [str(w) for w in rng.choice(WORDS, n)]
+                b = changed(a, kind, most)
+                x, y = " ".join(a), " ".join(b)
+                if x != y and line_dedup.within(x, y, int(0.2 * max(len(x), len(y)) + 1e-9)):
+                    pairs += [x.encode(), y.encode()]
+            if not pairs:
+                continue
+            sim = line_dedup.line_records(np.frombuffer(b"".join(pairs), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pairs])]))[3]
+            d = sim[::2] ^ sim[1::2]
+            same = sum((d >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1) == 0).astype(int) for lo, hi in zip(line_dedup.CUTS, line_dedup.CUTS[1:]))
+            hit = (same >= 2) & (np.bitwise_count(d) <= line_dedup.DISTANCE)
+            met[n] = met.get(n, 0) + hit.sum()
+            total[n] = total.get(n, 0) + len(hit)
+    share = {n: met[n] / total[n] for n in met}
+    assert sum(met.values()) / sum(total.values()) >= 0.9 and min(share.values()) >= 0.65, (sum(met.values()) / sum(total.values()), share)
 
 
 def test_bounded_edit_distance():
