@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,26 +9,23 @@ from pyspark.sql import types as T
 SUFFIX = "... [truncated]"
 
 
-def float_text(x: float) -> str:
-    """Shortest positional text of a double: no exponent, 1 for 1.0, -0, NaN, Infinity."""
-    if np.isnan(x):
-        return "NaN"
-    if np.isinf(x):
-        return "Infinity" if x > 0 else "-Infinity"
-    return np.format_float_positional(np.float64(x), unique=True, trim="-")
-
-
-@F.pandas_udf(T.StringType())
-def _float_text(s: pd.Series) -> pd.Series:
-    return s.map(float_text, na_action=None)
-
-
 def _floats(c: Column) -> Column:
-    """Plain casts where they already are positional; Python only for exponents."""
+    """Shortest positional text of a double: no exponent, 1 for 1.0, -0, NaN, Infinity; digits of an exponent are shifted."""
     d = c.cast("double")
     text = d.cast("string")
-    plain = F.when(F.isnan(d), "NaN").when(d == float("inf"), "Infinity").when(d == float("-inf"), "-Infinity")
-    return F.when(d.isNull(), None).otherwise(plain.when(text.contains("E"), _float_text(F.when(text.contains("E"), d).otherwise(F.lit(0.0)))).otherwise(F.regexp_replace(text, r"\.0$", "")))
+    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
+    after = F.when(part(3) == "0", F.lit("")).otherwise(part(3))
+    digits, e = F.concat(part(2), after), part(4).try_cast("int")
+    # the cast shows two digits at least: next to zero, one may tell the number already
+    one = F.round(F.concat(part(2), F.lit("."), part(3)).try_cast("decimal(3,1)"), 0).cast("int")
+    short = (e < -300) & (F.length(after) == 1) & (F.concat(one.cast("string"), F.lit("E"), part(4)).try_cast("double") == F.abs(d))
+    digits = F.when(short, F.when(one == 10, "1").otherwise(one.cast("string"))).otherwise(digits)
+    e = F.when(short & (one == 10), e + 1).otherwise(e)
+    large = F.when(F.length(after) <= e, F.concat(digits, F.repeat(F.lit("0"), e - F.length(after)))).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+    shifted = F.concat(part(1), F.when(e >= 0, large).otherwise(small))
+    special = F.when(F.isnan(d), "NaN").when(d == float("inf"), "Infinity").when(d == float("-inf"), "-Infinity")
+    return F.when(d.isNull(), None).otherwise(special.when(text.contains("E"), shifted).otherwise(F.regexp_replace(text, r"\.0$", "")))
 
 
 def _fraction(c: Column) -> Column:
@@ -82,6 +77,9 @@ def display(c: Column, t: T.DataType, max_bytes: int | None = None, elements: in
         if elements:
             body = F.when(F.size(c) > elements, F.concat(body, F.lit(", " + SUFFIX))).otherwise(body)
         out = F.when(c.isNotNull(), F.concat(F.lit("["), body, F.lit("]")))
+    elif isinstance(t, T.MapType):
+        entry = lambda x: F.concat(_nested(x.key, t.keyType, elements), F.lit(": "), F.coalesce(_nested(x.value, t.valueType, elements), F.lit("null")))
+        out = F.when(c.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(c), entry), ", "), F.lit("}")))
     elif isinstance(t, T.StructType):
         fields = [F.concat(F.lit(f"{f.name}: "), F.coalesce(_nested(c[f.name], f.dataType, elements), F.lit("null"))) for f in t]
         out = F.when(c.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))

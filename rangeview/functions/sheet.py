@@ -2,26 +2,39 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rangeview.model import PreviewError
+
 
 def column_name(index: Column) -> Column:
     """A, B, ..., Z, AA, ... for 0, 1, ...; up to four letters."""
-    i = index.cast("long")
-    letter = lambda x: F.char((65 + F.pmod(x, F.lit(26))).cast("long"))
-    one, two, three = i, F.floor(i / 26) - 1, F.floor((F.floor(i / 26) - 1) / 26) - 1
-    empty = F.lit("")
-    return F.concat(F.when(three >= 0, letter(three)).otherwise(empty), F.when(two >= 0, letter(two)).otherwise(empty), letter(one))
+    letter = lambda x: F.when(x >= 0, F.char((65 + F.pmod(x, F.lit(26))).cast("long"))).otherwise("")
+    steps = [index.cast("long")]
+    for _ in range(3):
+        steps.append(F.floor(steps[-1] / 26) - 1)
+    return F.concat(*[letter(x) for x in reversed(steps)])
+
+
+def column_label(index: int) -> str:
+    """The name of one column, for schemas."""
+    out, i = "", index + 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        out = chr(65 + r) + out
+    return out
 
 
 def serial_date(serial: Column, epoch_1904: bool = False) -> Column:
     """The date text of an Excel serial number: date, with a time if there is one, with milliseconds if there are any."""
-    days = F.floor(serial)
+    total = F.round(serial * 86_400_000).cast("long")  # rounded first, so that a fraction next to midnight is the next day
+    days, ms = F.floor(total / 86_400_000), F.pmod(total, F.lit(86_400_000))
     shifted = days if epoch_1904 else F.when(days < 60, days + 1).otherwise(days)
     date = F.date_add(F.lit("1904-01-01" if epoch_1904 else "1899-12-30").cast("date"), shifted.cast("int"))
-    ms = F.round((serial - days) * 86_400_000).cast("long")
     time = F.concat(F.lpad(F.floor(ms / 3_600_000).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(F.floor(ms / 60_000), F.lit(60)).cast("string"), 2, "0"), F.lit(":"), F.lpad(F.pmod(F.floor(ms / 1000), F.lit(60)).cast("string"), 2, "0"))
     rest = F.pmod(ms, F.lit(1000))
     return F.concat(date.cast("string"), F.when(ms > 0, F.concat(F.lit(" "), time)).otherwise(""), F.when(rest > 0, F.concat(F.lit("."), F.lpad(rest.cast("string"), 3, "0"))).otherwise(""))
@@ -38,6 +51,15 @@ def a1_column(ref: Column) -> Column:
     return F.aggregate(F.filter(F.split(letters, ""), lambda x: x != ""), F.lit(0).cast("long"), lambda a, x: a * 26 + F.ascii(x) - 64) - 1
 
 
+def a1_region(ref: Column) -> Column:
+    """The half-open rectangle of a reference like B2:D4, or of one cell; null if it is none or its ends are turned."""
+    first, last = F.split_part(ref, F.lit(":"), F.lit(1)), F.when(ref.contains(":"), F.split_part(ref, F.lit(":"), F.lit(2))).otherwise(ref)
+    ends = [a1_row(first), a1_row(last) + 1, a1_column(first), a1_column(last) + 1]
+    fits = ref.rlike(r"^\$?[A-Za-z]{1,3}\$?[1-9][0-9]*(:\$?[A-Za-z]{1,3}\$?[1-9][0-9]*)?$") & (ends[0] < ends[1]) & (ends[2] < ends[3])
+    names = ("row_start", "row_end", "column_start", "column_end")
+    return F.when(fits, F.struct(*[e.alias(n) for e, n in zip(ends, names)]))
+
+
 def column_pixels(width: Column) -> Column:
     return F.floor(width * 7 + 5).cast("long")
 
@@ -65,11 +87,35 @@ def scroll_to_content(offset: Column, content: float, viewport: float, most: flo
     return F.least(F.greatest(offset.cast("double"), F.lit(0.0)), F.lit(reach)) * (virtual / reach if reach else 0.0)
 
 
+MAX_MERGES = 100_000
+
+
+def checked_merges(merges: DataFrame) -> list[tuple[int, int, int, int]]:
+    """The regions (row_start, row_end, column_start, column_end) of one sheet; overlapping ones are PARSE_FAILED, over
+    ``MAX_MERGES`` RESOURCE_LIMIT. A sweep by rows holds the column spans that are open at each row."""
+    rows = [tuple(int(v) for v in r) for r in merges.select("row_start", "row_end", "column_start", "column_end").limit(MAX_MERGES + 1).collect()]
+    if len(rows) > MAX_MERGES:
+        raise PreviewError("RESOURCE_LIMIT", f"a sheet has at most {MAX_MERGES} merged regions")
+    events = sorted([(r[0], 1, r) for r in rows] + [(r[1], 0, r) for r in rows])
+    spans: list[tuple[int, int]] = []  # (column_start, column_end), sorted
+    for _, opens, r in events:
+        at = bisect_left(spans, (r[2], r[3]))
+        if not opens:
+            spans.pop(at)
+            continue
+        if at < len(spans) and spans[at][0] < r[3] or at and spans[at - 1][1] > r[2]:
+            raise PreviewError("PARSE_FAILED", "merged regions overlap")
+        spans.insert(at, (r[2], r[3]))
+    return rows
+
+
 def merge_mask(cells: DataFrame, merges: DataFrame) -> DataFrame:
     """Cells (row, column, value) with the values of merged cells other than the anchor taken out.
 
-    ``merges``: (row_start, row_end, column_start, column_end), a bounded list of at most 100,000 regions of one sheet.
+    ``merges``: (row_start, row_end, column_start, column_end) of one sheet, as checked_merges() lets them through, so a
+    cell is in one region at most and the broadcast table is bounded.
     """
-    m = F.broadcast(merges)
+    spark = cells.sparkSession
+    m = F.broadcast(spark.createDataFrame(checked_merges(merges), "row_start long, row_end long, column_start long, column_end long"))
     inside = (cells.row >= m.row_start) & (cells.row < m.row_end) & (cells.column >= m.column_start) & (cells.column < m.column_end) & ((cells.row != m.row_start) | (cells.column != m.column_start))
     return cells.join(m, inside, "left").select(cells.row, cells.column, F.when(m.row_start.isNull(), cells.value).alias("value"))

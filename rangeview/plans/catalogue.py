@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeview.functions import sheet, text, tree
+from rangeview.functions import sheet, text, tree, view
 from rangeview.functions.display import display
-from rangeview.operators.window import displayed, extent, read_range, tiles, tsv, tsv_field
+from rangeview.operators.window import displayed, extent, read_range, row_group_offsets, tiles, tsv, tsv_field
 from rangeview.sources import delimited
 from rangeview.sources.sniff import sniff_text
 
@@ -184,13 +184,14 @@ def text_substring(spark, d):
 
 @query("SELECT doc_id, (len(string_split(lower(text), 'the')) - 1)::BIGINT AS n FROM documents WHERE contains(lower(text), 'the')")
 def text_search_count(spark, d):
-    found = text.search(t(spark, d, "documents"), "doc_id", "The", max_results=1_000_000)
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    n = text.search_count(F.col("text"), "The").alias("n")
+    return t(spark, d, "documents").select("doc_id", n).where("n > 0")
 
 
-@query("""SELECT doc_id, k::BIGINT AS match, s::BIGINT AS start, (s + 5)::BIGINT AS "end", len(string_split(left(f, s::BIGINT), chr(10)))::BIGINT AS line FROM (
-SELECT doc_id, f, k, sum(length(p) + 5) OVER (PARTITION BY doc_id ORDER BY k) - 5 AS s, n FROM (
-SELECT doc_id, lower(text) AS f, len(string_split(lower(text), 'tion ')) AS n, unnest(string_split(lower(text), 'tion ')) AS p, generate_subscripts(string_split(lower(text), 'tion '), 1) AS k FROM documents)) WHERE k < n AND k <= 1000""")
+@query("""SELECT doc_id, k::BIGINT AS match, s::BIGINT AS start, (s + 5)::BIGINT AS "end", len(string_split(left(f, s::BIGINT), chr(10)))::BIGINT AS line,
+left(regexp_replace(string_split(text, chr(10))[len(string_split(left(f, s::BIGINT), chr(10)))], '\\r$', ''), 500) AS preview FROM (
+SELECT doc_id, text, f, k, sum(length(p) + 5) OVER (PARTITION BY doc_id ORDER BY k) - 5 AS s, n FROM (
+SELECT doc_id, text, lower(text) AS f, len(string_split(lower(text), 'tion ')) AS n, unnest(string_split(lower(text), 'tion ')) AS p, generate_subscripts(string_split(lower(text), 'tion '), 1) AS k FROM documents)) WHERE k < n AND k <= 1000""")
 def text_search_matches(spark, d):
     return text.search(t(spark, d, "documents"), "doc_id", "tion ")
 
@@ -212,24 +213,86 @@ def json_keys(spark, d):
     return nodes.where("parent_id = 0").select("event_id", "key")
 
 
-@query("SELECT conv_id, turn, role, length(text)::BIGINT AS size FROM conversations")
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1)::BIGINT AS position, turn::VARCHAR AS turn, role, text FROM conversations")
 def project_array(spark, d):
-    """An array of objects for each conversation, projected back to rows."""
-    doc = t(spark, d, "conversations").select(F.to_json(F.array(F.struct("conv_id", "turn", "role", F.length("text").alias("size")))).alias("doc"))
-    rows = doc.select(F.explode(F.from_json("doc", "array<struct<conv_id:bigint,turn:bigint,role:string,size:bigint>>")).alias("r"))
-    return rows.select("r.*")
+    """A JSON array of objects for each conversation, whole texts included, projected back to rows; columns are the union of keys."""
+    item = F.struct("turn", "role", "text")
+    doc = t(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("doc"))
+    return tree.project_array(doc, "conv_id", "doc", limit=None).select("conv_id", "position", "turn", "role", "text")
 
 
-@query("SELECT page_id, CASE WHEN lower(left(ltrim(html), 4)) = '<svg' THEN 'svg' WHEN lower(left(ltrim(html), 5)) = '<?xml' THEN 'xml' ELSE 'text' END AS format FROM pages")
+@query("SELECT 'k' AS name, min(event_id) AS first_event FROM events")
+def key_union(spark, d):
+    """Field names over all documents by where they are first seen."""
+    doc = t(spark, d, "events").select("event_id", F.concat(F.lit("["), F.col("props"), F.lit("]")).alias("doc"))
+    found = tree.key_union(tree.array_rows(doc, "event_id", "doc"), "event_id")
+    return found.select("name", F.col("first.event_id").alias("first_event"))
+
+
+@query("SELECT event_id, 1::BIGINT AS id, 'k' AS key, props::JSON->>'$.k' AS value FROM events")
+def node_page(spark, d):
+    nodes = tree.node_table(t(spark, d, "events"), "event_id", "props")
+    return tree.node_page(nodes, 1, 100).select("event_id", "id", "key", "value")
+
+
+@query("SELECT page_id, CASE WHEN lower(ltrim(html, chr(10) || chr(13) || chr(9) || ' ')) LIKE '<svg%' THEN 'svg' WHEN regexp_matches(ltrim(html, chr(10) || chr(13) || chr(9) || ' '), '^<([?]xml|[A-Za-z_][A-Za-z0-9_:.-]*[ />])') THEN 'xml' ELSE 'text' END AS format FROM pages")
 def sniff_pages(spark, d):
     return t(spark, d, "pages").select("page_id", sniff_text(F.col("html")).alias("format"))
 
 
+@query("SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'xml' WHEN 1 THEN 'svg' WHEN 2 THEN 'jsonl' WHEN 3 THEN 'json' WHEN 4 THEN 'json' WHEN 5 THEN 'xml' ELSE 'text' END AS format FROM events")
+def sniff_markup(spark, d):
+    """The rules for markup and JSON on texts made of each event's properties."""
+    p = F.col("props")
+    texts = [F.concat(F.lit("<html>"), p), F.concat(F.lit("<?xml version='1.0'?>\n <svg>"), p), F.concat(p, F.lit("\n\n"), p), F.concat(F.lit("  {"), p), F.concat(F.lit("["), p), F.concat(F.lit("<?xml?><a>"), p), F.concat(F.lit("< b>"), p)]
+    k = F.col("event_id") % 7
+    chosen = F.when(k == 0, texts[0])
+    for i, x in enumerate(texts[1:], 1):
+        chosen = chosen.when(k == i, x)
+    return t(spark, d, "events").select("event_id", sniff_text(chosen).alias("format"))
+
+
 @query("SELECT event_id, 'json' AS format FROM events")
 def sniff_props(spark, d):
     return t(spark, d, "events").select("event_id", sniff_text(F.col("props")).alias("format"))
 
 
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: (x::DECIMAL(18,3))::VARCHAR), ', ') || CASE WHEN len(embedding) > 4 THEN ', ... [truncated]' ELSE '' END || ']' AS items FROM embeddings")
+def list_preview_vectors(spark, d):
+    """The first elements of every vector, to three places."""
+    shown = F.transform("embedding", lambda x: x.cast("decimal(18,3)"))
+    return t(spark, d, "embeddings").select("vec_id", display(shown, T.ArrayType(T.DecimalType(18, 3)), elements=4).alias("items"))
+
+
+_MOVES = "(CASE l_linenumber % 6 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'page-up' WHEN 3 THEN 'page-down' WHEN 4 THEN 'row-end' ELSE 'table-start' END)"
+_IN_ROWS, _IN_COLUMNS = "greatest(0, least({}, 9999))", "greatest(0, least({}, 24))"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, CASE k WHEN 'page-up' THEN {_IN_ROWS.format('r - 30')} WHEN 'page-down' THEN {_IN_ROWS.format('r + 30')} WHEN 'table-start' THEN 0 ELSE r END AS "row",
+CASE k WHEN 'left' THEN {_IN_COLUMNS.format('c - 1')} WHEN 'right' THEN {_IN_COLUMNS.format('c + 1')} WHEN 'row-end' THEN 24 ELSE c END AS "column"
+FROM (SELECT l_orderkey, l_linenumber, {_MOVES} AS k, {_IN_ROWS.format('l_partkey')} AS r, {_IN_COLUMNS.format('l_quantity::BIGINT')} AS c FROM lineitem)""")
+def navigation(spark, d):
+    k = F.col("l_linenumber") % 6
+    command = F.when(k == 0, "left").when(k == 1, "right").when(k == 2, "page-up").when(k == 3, "page-down").when(k == 4, "row-end").otherwise("table-start")
+    to = view.moved(F.col("l_partkey"), F.round("l_quantity").cast("long"), command, 10_000, 25, 30)
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", to.alias("to")).select("l_orderkey", "l_linenumber", "to.row", "to.column")
+
+
+@query("SELECT name, (SELECT count(*) FROM lineitem) AS rows FROM (SELECT 'lineitem' AS name)")
+def row_group_extent(spark, d):
+    """Rows of the row groups, which are read from the footers alone."""
+    groups = row_group_offsets(spark, f"{d}/lineitem.parquet")
+    return groups.agg(F.max(F.col("row_start") + F.col("rows")).alias("rows")).select(F.lit("lineitem").alias("name"), "rows")
+
+
+@query("SELECT p_partkey, p_partkey AS row_start, p_partkey + p_size AS row_end, (p_size % 26)::BIGINT AS column_start, (p_size % 26 + 27)::BIGINT AS column_end FROM part WHERE p_size > 0")
+def a1_regions(spark, d):
+    letter = lambda k: F.char(F.lit(65) + F.col("p_size").cast("long") % 26 + k)
+    key = F.col("p_partkey")
+    ref = F.concat(letter(0), (key + 1).cast("string"), F.lit(":$A"), letter(0), F.lit("$"), (key + F.col("p_size")).cast("string"))
+    return t(spark, d, "part").where("p_size > 0").select("p_partkey", sheet.a1_region(ref).alias("at")).select("p_partkey", "at.row_start", "at.row_end", "at.column_start", "at.column_end")
+
+
 _NAME = "CASE WHEN i >= 702 THEN chr((65 + (i // 26 - 1) // 26 - 1)::INT) ELSE '' END || CASE WHEN i >= 26 THEN chr((65 + (i // 26 - 1) % 26)::INT) ELSE '' END || chr((65 + i % 26)::INT)"
 
 
@@ -245,10 +308,10 @@ def excel_serial_dates(spark, d):
     return t(spark, d, "orders").select("o_orderkey", sheet.serial_date(serial).alias("text"))
 
 
-@query("SELECT p_partkey, p_partkey - 1 AS \"row\", (p_size % 26)::BIGINT AS \"column\" FROM part WHERE p_partkey > 0")
+@query("SELECT p_partkey, p_partkey AS \"row\", (p_size % 26)::BIGINT AS \"column\" FROM part")
 def a1_parse(spark, d):
-    ref = F.concat(F.lit("$"), F.char(F.lit(65) + F.col("p_size").cast("long") % 26), F.col("p_partkey").cast("string"))
-    df = t(spark, d, "part").where("p_partkey > 0").select("p_partkey", ref.alias("ref"))
+    ref = F.concat(F.lit("$"), F.char(F.lit(65) + F.col("p_size").cast("long") % 26), (F.col("p_partkey") + 1).cast("string"))
+    df = t(spark, d, "part").select("p_partkey", ref.alias("ref"))
     return df.select("p_partkey", sheet.a1_row(F.col("ref")).alias("row"), sheet.a1_column(F.col("ref")).alias("column"))
 
 
@@ -292,7 +355,7 @@ def _csv_roundtrip(name: str, columns: list[str]):
         folder = tempfile.mkdtemp(prefix="rangeview-csv-")
         rows = t(spark, d, name).select([F.col(c).cast("string") for c in columns]).toArrow()
         pc.write_csv(rows, f"{folder}/{name}.csv")
-        return delimited.read(spark, f"{folder}/{name}.csv").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+        return delimited.read(spark, f"{folder}/{name}.csv").select(*columns)
 
     run.__name__ = f"csv_roundtrip_{name}"
     return query("SELECT " + ", ".join(f"{c}::VARCHAR AS {c}" for c in columns) + f" FROM {name}")(run)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rangeview.functions import sheet, text, tree
-from rangeview.functions.display import display, float_text
+from rangeview.functions.display import display
 from rangeview.model import PreviewError, Range, clamped
 from rangeview.operators import window
 from rangeview.plans import catalogue
@@ -16,8 +16,8 @@ def one(spark, column, kind, value, **kw):
     return df.select(display(F.col("c"), kind, **kw)).head()[0]
 
 
-def test_floats():
-    assert [float_text(x) for x in (float("nan"), float("inf"), float("-inf"), -0.0, 1.5, 1e7, 1e-5)] == ["NaN", "Infinity", "-Infinity", "-0", "1.5", "10000000", "0.00001"]
+def test_floats(spark):
+    assert [one(spark, "c", T.DoubleType(), x) for x in (float("nan"), float("inf"), float("-inf"), -0.0, 1.5, 1e7, 1e-5)] == ["NaN", "Infinity", "-Infinity", "-0", "1.5", "10000000", "0.00001"]
 
 
 @pytest.mark.parametrize(
@@ -72,7 +72,7 @@ def test_positions_over_many_files(spark, tmp_path):
 def test_lines_and_search(spark):
     df = spark.createDataFrame([(1, "one\r\nTwo two\n")], "k int, text string")
     assert [tuple(r) for r in text.lines(df, "k").orderBy("number").collect()] == [(1, 1, "one", 0, 3), (1, 2, "Two two", 5, 12), (1, 3, "", 13, 13)]
-    assert [tuple(r) for r in text.search(df, "k", "TWO").orderBy("match").collect()] == [(1, 1, 5, 8, 2), (1, 2, 9, 12, 2)]
+    assert [tuple(r) for r in text.search(df, "k", "TWO").orderBy("match").collect()] == [(1, 1, 5, 8, 2, "Two two"), (1, 2, 9, 12, 2, "Two two")]
 
 
 def test_tree():

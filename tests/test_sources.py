@@ -4,7 +4,7 @@ import pytest
 from rangeview.model import PreviewError
 from rangeview.sources import arrow_ipc, delimited
 from rangeview.sources.delimited import Dialect, parse
-from rangeview.sources.sniff import sniff_bytes
+from rangeview.sources.sniff import sniff_table
 
 
 def test_ragged_lenient_widens_and_tells_missing_from_empty():
@@ -44,7 +44,7 @@ def test_lossy_text_and_options():
 def test_delimited_frames(spark, tmp_path):
     (tmp_path / "x.csv").write_bytes(b"a,b\n1\n2,,3\n")
     df = delimited.read(spark, str(tmp_path / "x.csv"))
-    assert [tuple(r) for r in df.orderBy("row").select("c0", "c1", "c2").collect()] == [("1", None, None), ("2", "", "3")]
+    assert [tuple(r) for r in df.orderBy("row").select("a", "b", "column_3").collect()] == [("1", None, None), ("2", "", "3")]
     assert delimited.diagnostics(spark, str(tmp_path / "x.csv")).count() == 2
 
 
@@ -60,4 +60,4 @@ def test_arrow_containers(spark, tmp_path, kind):
 
 
 def test_signatures():
-    assert sniff_bytes(b"PAR1....") == "parquet" and sniff_bytes(b"plain text") == "text" and sniff_bytes(b"\x00\x01\x02") == "binary"
+    assert sniff_table(b"PAR1....") == "parquet" and sniff_table(b"plain text") == "csv" and sniff_table(b"\x00\x01\x02") == "unknown-binary"
