@@ -9,23 +9,52 @@ from pyspark.sql import types as T
 SUFFIX = "... [truncated]"
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of a name for ``value``, so that a long expression holds it once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _floats(c: Column) -> Column:
-    """Shortest positional text of a double: no exponent, 1 for 1.0, -0, NaN, Infinity; digits of an exponent are shifted."""
-    d = c.cast("double")
-    text = d.cast("string")
-    part = lambda k: F.regexp_extract(text, r"^(-?)(\d)\.(\d+)E(-?\d+)$", k)
-    after = F.when(part(3) == "0", F.lit("")).otherwise(part(3))
-    digits, e = F.concat(part(2), after), part(4).try_cast("int")
-    # the cast shows two digits at least: next to zero, one may tell the number already
-    one = F.round(F.concat(part(2), F.lit("."), part(3)).try_cast("decimal(3,1)"), 0).cast("int")
-    short = (e < -300) & (F.length(after) == 1) & (F.concat(one.cast("string"), F.lit("E"), part(4)).try_cast("double") == F.abs(d))
-    digits = F.when(short, F.when(one == 10, "1").otherwise(one.cast("string"))).otherwise(digits)
-    e = F.when(short & (one == 10), e + 1).otherwise(e)
-    large = F.when(F.length(after) <= e, F.concat(digits, F.repeat(F.lit("0"), e - F.length(after)))).otherwise(F.concat(F.substr(digits, F.lit(1), e + 1), F.lit("."), F.substr(digits, e + 2)))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    shifted = F.concat(part(1), F.when(e >= 0, large).otherwise(small))
-    special = F.when(F.isnan(d), "NaN").when(d == float("inf"), "Infinity").when(d == float("-inf"), "-Infinity")
-    return F.when(d.isNull(), None).otherwise(special.when(text.contains("E"), shifted).otherwise(F.regexp_replace(text, r"\.0$", "")))
+    """Shortest positional text of a double: no exponent, 1 for 1.0, -0, NaN, Infinity; digits of an exponent are shifted.
+
+    The cast gives the shortest digits but for some numbers of 17 or more of them, for which fewer are tried. NaN and the
+    infinities are shown as the cast gives them.
+    """
+    text = c.cast("double").cast("string")
+    plain = F.when(text.endswith(".0"), F.substring_index(text, ".", 1)).otherwise(text)
+    return F.when(text.contains("E") | (F.length(text) > 17), _let(text, lambda t: _let(_shortest(t), _shifted))).otherwise(plain)
+
+
+def _shortest(text: Column) -> Column:
+    d = text.cast("double")
+    tried = [F.format_string(f"%.{n}e", d) for n in (15, 16)]
+    long = F.length(F.translate(F.substring_index(text, "E", 1), "-.", "")) > 16
+    return F.lower(F.when(long, F.coalesce(*[F.when(x.cast("double") == d, x) for x in tried], text)).otherwise(text))
+
+
+def _shifted(text: Column) -> Column:
+    """A number like -1.25e-7 without its exponent: its digits after zeros, between or before them. One without an
+    exponent has its point where it is."""
+    number = F.translate(F.substring_index(text, "e", 1), "-", "")
+    place = F.when(text.contains("e"), F.substring_index(text, "e", -1).cast("int")).otherwise(F.length(F.substring_index(number, ".", 1)) - 1)
+    raw = F.translate(number, ".", "")
+    digits = F.when(text.contains("e"), F.coalesce(F.nullif(F.rtrim(raw, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(raw)
+
+    def joined(x: Column) -> Column:
+        e, known = x.e, x.digits
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), F.when(e > -322, known).otherwise(_one_digit(x.number, e, known)))
+        large = F.rpad(known, F.greatest(e + 1, F.length(known)), F.lit("0"))
+        whole = F.regexp_replace(F.concat(F.substr(large, F.lit(1), e + 1), F.lit("."), F.substr(large, e + 2)), r"\.0?$", "")
+        return F.concat(F.when(text.startswith("-"), "-").otherwise(""), F.when(e < 0, small).otherwise(whole))
+
+    return _let(F.struct(number.alias("number"), place.alias("e"), digits.alias("digits")), joined)
+
+
+def _one_digit(number: Column, e: Column, digits: Column) -> Column:
+    """One digit in place of two where it tells the same number, as next to zero, where the cast gives two at least."""
+    one = F.round(F.abs(number.cast("double")), 0).cast("int").cast("string")
+    same = F.concat(one, F.lit("E"), e.cast("string")).cast("double") == F.concat(F.abs(number.cast("double")).cast("string"), F.lit("E"), e.cast("string")).cast("double")
+    return F.when((F.length(digits) == 2) & same, one).otherwise(digits)
 
 
 def _fraction(c: Column) -> Column:

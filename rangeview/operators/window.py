@@ -7,7 +7,6 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rangeview.functions.display import display
 from rangeview.model import MAX_RANGE_CELLS, PreviewError, Range, RangeResult, clamped
@@ -128,7 +127,9 @@ def tiles(rows: int, columns: int, tile_rows: int, tile_columns: int, spark: Spa
 
 def tsv(df: DataFrame) -> DataFrame:
     """One text per row: fields parted by tabs, null as nothing, quoted if they hold a tab, CR, LF or a quote."""
-    return df.select(F.concat_ws("\t", *[tsv_field(F.col(f"`{f.name}`") if isinstance(f.dataType, T.StringType) else display(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema]).alias("line"))
+    # display texts first, so that each is worked out once and the quoting looks at a column
+    shown = df.select(*[display(F.col(_quoted(f.name)), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)])
+    return shown.select(F.concat_ws("\t", *[tsv_field(F.col(c)) for c in shown.columns]).alias("line"))
 
 
 def tsv_field(c):
