@@ -120,12 +120,16 @@ class _Found:
         return self.components
 
 
-def _by_heads(found: _Found, rows: DataFrame, order, near) -> None:
-    """Hold each bucket's head against its members of other components."""
+def _by_heads(found: _Found, rows: DataFrame, order, near, one: bool = False) -> None:
+    """Hold each bucket's head against its members of other components; ``one``: each member only against the first of its heads."""
     current = found.label(rows)
-    head = _mixed(current, order).select("bucket", F.col("head.id").alias("hid"), F.col("head.sig").alias("hsig"), F.col("head.comp").alias("hcomp"))
+    head = _mixed(current, order).select("bucket", F.col("head.order").alias("horder"), F.col("head.id").alias("hid"), F.col("head.sig").alias("hsig"), F.col("head.comp").alias("hcomp"))
     left = current.join(head, "bucket").where("comp != hcomp")
-    found.hold((left if near is None else left.where(near(F.col("sig"), F.col("hsig")))).select(F.col("id").alias("a"), F.col("hid").alias("b")))
+    if near is not None:
+        left = left.where(near(F.col("sig"), F.col("hsig")))
+    if one:
+        left = left.groupBy("id").agg(F.min(F.struct("horder", "hid")).alias("h")).select("id", F.col("h.hid").alias("hid"))
+    found.hold(left.select(F.col("id").alias("a"), F.col("hid").alias("b")))
 
 
 def _by_pairs(found: _Found, rows: DataFrame, near) -> None:
@@ -148,7 +152,7 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=Non
     for meeting() in which every two of these ids that are linked meet, and the condition that both then fulfil.
 
     All pairs of a bucket are never formed. In each round one member of a bucket, its head, is held against those of
-    other components: first the heaviest (copies, then the sum of the sizes of the buckets it is in: the middle of a
+    other components (in the first round only once for each member): first the heaviest (copies, then the sum of the sizes of the buckets it is in: the middle of a
     cloud of near copies is in most), then one drawn by hash, another in each bucket and round, so that the parts of a
     cloud without a middle meet by many different pairs. Members that a round has linked belong to one component.
     With ``narrow`` the buckets serve one round of heads; what stays open goes on in the narrow buckets, where members
@@ -159,6 +163,8 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=Non
     found = _Found(verify)
     rank = shared.groupBy("id").agg(F.sum("n").alias("reach"))
     rows = written(shared.join(rank, "id").select("bucket", "id", "sig", F.struct(-F.col("weight"), -F.col("reach"), F.col("id")).alias("order")))
+    # in a dense group nearly every pair is a link, so one head for each member spares most pairs
+    _by_heads(found, rows, F.col("order"), near, one=True)
     _by_heads(found, rows, F.col("order"), near)
     tables = [rows]
     if narrow is not None:

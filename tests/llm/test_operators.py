@@ -476,7 +476,7 @@ def test_lines_of_edit_similarity_meet():
             met[n] = met.get(n, 0) + hit.sum()
             total[n] = total.get(n, 0) + len(hit)
     share = {n: met[n] / total[n] for n in met}
-    assert sum(met.values()) / sum(total.values()) >= 0.9 and min(share.values()) >= 0.65, (sum(met.values()) / sum(total.values()), share)
+    assert sum(met.values()) / sum(total.values()) >= 0.9 and min(share.values()) >= 0.6, (sum(met.values()) / sum(total.values()), share)
 
 
 def test_bounded_edit_distance():
