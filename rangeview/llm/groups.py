@@ -132,24 +132,28 @@ def _by_heads(found: _Found, rows: DataFrame, order, near, one: bool = False) ->
     found.hold(left.select(F.col("id").alias("a"), F.col("hid").alias("b")))
 
 
-def _by_pairs(found: _Found, rows: DataFrame, near) -> None:
-    """Hold all members of different components of a bucket against each other, as far as ``near`` lets them."""
+def _by_pairs(found: _Found, rows: DataFrame, near, once=None) -> None:
+    """Hold all members of different components of a bucket against each other, as far as ``near`` lets them; a pair that
+    shares several buckets meets in the one that ``once`` tells."""
     current = found.label(rows)
     rest = current.join(_mixed(current, F.col("id")).select("bucket"), "bucket").select("bucket", "id", "sig", "comp")
     other = rest.select("bucket", F.col("id").alias("oid"), F.col("sig").alias("osig"), F.col("comp").alias("ocomp"))
     close = (F.col("id") < F.col("oid")) & (F.col("comp") != F.col("ocomp"))
     if near is not None:
         close = close & near(F.col("sig"), F.col("osig"))
+    if once is not None:
+        close = close & once(rest.bucket, F.col("sig"), F.col("osig"))
     found.hold(rest.join(other, (rest.bucket == other.bucket) & close).select(F.col("id").alias("a"), F.col("oid").alias("b")))
 
 
-def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, narrow=None) -> DataFrame:
+def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, narrow=None, once=None) -> DataFrame:
     """(node, component): the connected components that all verified pairs within buckets would make, as components() gives them.
 
     ``shared``: what meeting() gives of (bucket, id, weight, and what ``near`` looks at as struct ``sig``). ``verify`` takes distinct pairs
     (a, b), a < b, and returns those that are links. ``near``, if given, is a necessary condition on two sigs. ``narrow``,
     if given, takes the ids (id) that still share a bucket with another component and returns (members, near): buckets as
-    for meeting() in which every two of these ids that are linked meet, and the condition that both then fulfil.
+    for meeting() in which every two of these ids that are linked meet, and the condition that both then fulfil. ``once``, if
+    given, tells of a bucket and two sigs whether it is the one of their shared buckets in which the pair is looked at.
 
     All pairs of a bucket are never formed. In each round one member of a bucket, its head, is held against those of
     other components (in the first round only once for each member): first the heaviest (copies, then the sum of the sizes of the buckets it is in: the middle of a
@@ -178,7 +182,7 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=Non
         if _open_pairs(found.label(rows)) <= FEW * n:
             break
         _by_heads(found, rows, F.xxhash64("bucket", "id", F.lit(k)), near)
-    _by_pairs(found, rows, near)
+    _by_pairs(found, rows, near, once)
     for t in tables:
         forget(t)
     return found.close()

@@ -265,6 +265,15 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         close = F.least(a.chars, b.chars) >= F.greatest(a.chars, b.chars) * SIMILARITY - 1e-9
         return close & (F.bit_count(a.sim.bitwiseXOR(b.sim)) <= DISTANCE)
 
+    def once(bucket: Column, a: Column, b: Column) -> Column:
+        """The first key that both have: near lines are kept in every bucket that they share."""
+        differ = a.sim.bitwiseXOR(b.sim)
+        same = [differ.bitwiseAND(((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0)) == 0 for lo, hi in zip(CUTS, CUTS[1:])]
+        first = F.when(same[PAIRS[0][0]] & same[PAIRS[0][1]], 0)
+        for k, (i, j) in enumerate(PAIRS[1:], 1):
+            first = first.when(same[i] & same[j], k)
+        return first == bucket.bitwiseAND(15)
+
     texts = written(_texts(docs, near_lines.select("h")))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -273,7 +282,7 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return two.select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
 
     shared = meeting(members)
-    found = linked(shared, verify, near)
+    found = linked(shared, verify, near, once=once)
     for t in (met, shared, texts):
         forget(t)
     told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")
