@@ -137,13 +137,13 @@ def _by_pairs(found: _Found, rows: DataFrame, near, once=None) -> None:
     shares several buckets meets in the one that ``once`` tells."""
     current = found.label(rows)
     rest = current.join(_mixed(current, F.col("id")).select("bucket"), "bucket").select("bucket", "id", "sig", "comp")
-    other = rest.select("bucket", F.col("id").alias("oid"), F.col("sig").alias("osig"), F.col("comp").alias("ocomp"))
+    other = rest.select(F.col("bucket").alias("obucket"), F.col("id").alias("oid"), F.col("sig").alias("osig"), F.col("comp").alias("ocomp"))
     close = (F.col("id") < F.col("oid")) & (F.col("comp") != F.col("ocomp"))
     if near is not None:
         close = close & near(F.col("sig"), F.col("osig"))
     if once is not None:
-        close = close & once(rest.bucket, F.col("sig"), F.col("osig"))
-    found.hold(rest.join(other, (rest.bucket == other.bucket) & close).select(F.col("id").alias("a"), F.col("oid").alias("b")))
+        close = close & once(F.col("bucket"), F.col("sig"), F.col("osig"))
+    found.hold(rest.join(other, (F.col("bucket") == F.col("obucket")) & close).select(F.col("id").alias("a"), F.col("oid").alias("b")))
 
 
 def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=None, narrow=None, once=None) -> DataFrame:

@@ -127,8 +127,8 @@ def test_a_cloud_of_near_misses_loses_no_link(spark, monkeypatch):
     texts = cloud(rng, 200, 150, 16) + cloud(rng, 40, 80, 4)
     held = []
 
-    def counted(found, rows, near, own=groups._by_pairs):
-        own(found, rows, near)
+    def counted(found, rows, near, once=None, own=groups._by_pairs):
+        own(found, rows, near, once)
         held.append(sum(p.count() for p in found.pairs))
 
     monkeypatch.setattr(groups, "_by_pairs", counted)
