@@ -16,8 +16,7 @@ from rangeview.llm.vec import WORDS, mix, powers, prefix_hash, span_hash, words
 #: A line's features are cut in five runs; the SimHash of each run is one block of the line's 64 bits.
 CUTS = (0, 13, 26, 39, 52, 64)
 #: Linked lines have SimHashes that differ in at most so many bits and agree in two blocks; each pair of blocks is a key of 25 or 26 bits.
-#: Lines that share two blocks only, as those with one long common end, are within this by chance in 3 of 100 cases.
-DISTANCE = 13
+DISTANCE = 16
 SIMILARITY = 0.8
 #: Features of a line are its words; of a line of fewer words, each byte of its words with the byte after it.
 FEW_WORDS = 10
