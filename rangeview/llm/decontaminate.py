@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rangeview.llm.common import byte_chunks, session, text_of
 from rangeview.llm.vec import SHINGLE, U, mix, word_hashes
@@ -136,10 +137,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_til
     a stated query set: it is broadcast in blocks of about ``block_words`` words, and each block scans the documents.
 
     Returns (doc_id, item_id, covered, item_words, coverage, n_tiles) for each leaking pair of rows. Null and empty
-    texts leak nothing and match nothing; null ids stay null; repeated rows repeat; empty tables give an empty
+    texts leak nothing and match nothing; ids keep their types, null ids stay null; repeated rows repeat; empty tables give an empty
     result; other columns are not looked at.
     """
     spark = session(docs)
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = docs.select("doc_id").schema.add("item_id", benchmark.schema["item_id"].dataType).add("covered", "long").add("item_words", "long").add("coverage", "double").add("n_tiles", "long")
     out = None
     for block in _blocks(benchmark, block_words):
@@ -154,7 +156,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, min_til
                     if got:
                         rows = ids.take(pa.array([g[0] for g in got]))
                         yield pa.RecordBatch.from_arrays(
-                            [rows, pa.array([items[g[1]][0] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([len(items[g[1]][1]) for g in got], pa.int64()), pa.array([g[2] / len(items[g[1]][1]) for g in got], pa.float64()), pa.array([len(g[3]) for g in got], pa.int64())],
+                            [rows, pa.array([items[g[1]][0] for g in got], item_type), pa.array([g[2] for g in got], pa.int64()), pa.array([len(items[g[1]][1]) for g in got], pa.int64()), pa.array([g[2] / len(items[g[1]][1]) for g in got], pa.float64()), pa.array([len(g[3]) for g in got], pa.int64())],
                             names=["doc_id", "item_id", "covered", "item_words", "coverage", "n_tiles"],
                         )
 

@@ -412,3 +412,34 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         forget(t)
     spark.sql(f"DROP TABLE {name}")
     return out
+
+
+def repeats_sql(table: str = "documents", size: int = SPAN) -> str:
+    """DuckDB SQL for the rows of ``remove_repeats`` over whole texts: all strings of ``size`` bytes, in hexadecimal, told apart by 128-bit hashes."""
+    return f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM {table}
+), strings AS (
+  SELECT r, doc_id, i, md5_number(substr(x, 2 * i + 1, {2 * size})) AS s
+  FROM (SELECT r, doc_id, x, unnest(range(0, length(x) // 2 - {size - 1})) AS i FROM texts WHERE length(x) >= {2 * size})
+), firsts AS (
+  SELECT s, min(doc_id) AS least FROM strings GROUP BY s HAVING count(*) > 1
+), spans AS (
+  SELECT r, i, i + {size} AS e, max(i + {size}) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM strings JOIN firsts USING (s) WHERE firsts.least < strings.doc_id
+), runs AS (
+  SELECT r, b, max(e) AS e FROM (
+    SELECT r, i, e, max(CASE WHEN before IS NULL OR i > before THEN i END) OVER (PARTITION BY r ORDER BY i) AS b FROM spans
+  ) GROUP BY r, b
+), kept AS (
+  SELECT r, b, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY b), 0) AS upto FROM runs
+), parts AS (
+  SELECT texts.r, count(*) AS n_spans, sum(e - b) AS n_removed, max(e) AS last,
+    string_agg(substr(x, 2 * upto + 1, 2 * (b - upto)), '' ORDER BY b) AS hexed
+  FROM kept JOIN texts USING (r) GROUP BY texts.r
+)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(hexed, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN parts USING (r)
+"""

@@ -3,6 +3,7 @@ import itertools
 import math
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -58,6 +59,16 @@ def test_repeats_equal_brute_force(spark, corpus):
     assert suffix_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_repeats_equal_their_sql(spark, corpus):
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    con = duckdb.connect()
+    con.register("rows", pa.table({"doc_id": pa.array([i for i, _ in corpus], pa.int64()), "text": pa.array([t for _, t in corpus], pa.string())}))
+    # a row without an id comes after all ids for the operator; SQL compares it with nothing
+    whole = [r for r in con.sql(suffix_dedup.repeats_sql("rows")).fetchall() if r[0] is not None]
+    got = suffix_dedup.remove_repeats(frame(spark, corpus)).select(*cols).where("doc_id is not null").collect()
+    assert sorted(map(tuple, got)) == sorted(whole) and sum(r[2] for r in whole)
+
+
 def test_suffix_ranks_are_the_order_of_the_strings():
     rng = np.random.default_rng(1)
     data = rng.integers(97, 99, 400).astype(np.uint8)
@@ -265,6 +276,50 @@ def test_tiling_finds_reordered_passages(spark, corpus):
     assert decontaminate.leaks(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def tiled(item, doc, size):
+    """(words, tiles) that greedy string tiling marks: in each round every pair of places, the longest run first."""
+    marked_item, marked_doc, covered, count = [False] * len(item), [False] * len(doc), 0, 0
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not marked_item[i + n] and not marked_doc[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < size:
+            return covered, count
+        marked_item[i : i + n] = marked_doc[j : j + n] = [True] * n
+        covered, count = covered + n, count + 1
+
+
+def test_tiling_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+    items = [(f"i{k}", [str(w) for w in rng.choice(WORDS, n)]) for k, n in enumerate((1, 3, 5, 9, 16, 30, 30))]
+    items.append(("twice", items[4][1] * 2))
+    docs = []
+    for k in range(60):
+        words = [str(w) for w in rng.choice(WORDS, 4)]
+        for _ in range(int(rng.integers(0, 5))):
+            source = items[int(rng.integers(0, len(items)))][1]
+            a = int(rng.integers(0, len(source)))
+            words += source[a : a + int(rng.integers(1, 20))] + [str(w) for w in rng.choice(WORDS, int(rng.integers(0, 3)))]
+        docs.append((k, words))
+    docs += [(100, items[5][1] * 2), (101, ["ba"] * 40), (102, items[0][1] * 3), (102, items[0][1] * 3)]
+    got = decontaminate.leaks(
+        frame(spark, [(i, " ".join(w).upper()) for i, w in docs]).repartition(3), spark.createDataFrame([(k, ", ".join(w), 1) for k, w in items], "item_id string, text string, doc_id int"), block_words=40
+    )
+    want = []
+    for i, words in docs:
+        for k, item in items:
+            covered, count = tiled(item, words, min(decontaminate.MIN_TILE, len(item)))
+            if covered >= 0.5 * len(item):
+                want.append((i, k, covered, len(item), covered / len(item), count))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 20 and max(w[5] for w in want) > 1
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((1500, 8)).astype(np.float32)
