@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -68,8 +69,9 @@ def _open_pairs(rows: DataFrame) -> float:
     return parts.agg(F.sum(((F.col("n") * F.col("n") - F.col("own")) / 2).cast("double")).alias("p")).first().p or 0
 
 
-#: Rounds of heads at most; pairs of different components, for each row of a bucket, that the last step may look at without another round.
-ROUNDS, FEW = 2, 1
+#: Rounds of heads at most; pairs of different components, for each row of a bucket, that the last step may look at without another round;
+#: the share of these pairs that a round has to close for another one to follow.
+ROUNDS, FEW, WORTH = 8, 1, 0.2
 
 
 class _Found:
@@ -161,7 +163,7 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=Non
     cloud without a middle meet by many different pairs. Members that a round has linked belong to one component.
     With ``narrow`` the buckets serve one round of heads; what stays open goes on in the narrow buckets, where members
     without links mostly meet nobody. Rounds end when the pairs of different components that still share a bucket are few
-    against the rows of the buckets, or after ``ROUNDS``; those pairs that ``near`` lets through are all held against each
+    against the rows of the buckets, when a round has closed less than ``WORTH`` of them, or after ``ROUNDS``; those pairs that ``near`` lets through are all held against each
     other, so no link is lost.
     """
     found = _Found(verify)
@@ -178,9 +180,12 @@ def linked(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], near=Non
         rows = meeting(members)
         tables += [left, rows]
     n = rows.count()
+    before = math.inf
     for k in range(1, ROUNDS):
-        if _open_pairs(found.label(rows)) <= FEW * n:
+        still = _open_pairs(found.label(rows))
+        if still <= FEW * n or still > before * (1 - WORTH):
             break
+        before = still
         _by_heads(found, rows, F.xxhash64("bucket", "id", F.lit(k)), near)
     _by_pairs(found, rows, near, once)
     for t in tables:
