@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rangeview.llm.common import bitmap, byte_chunks, forget, session, text_of, written
-from rangeview.llm.groups import linked, meeting
+from rangeview.llm.edits import Coded, within_pairs
+from rangeview.llm.groups import components
 from rangeview.llm.vec import WORDS, mix, powers, prefix_hash, span_hash, words
 
 #: A line's features are cut in five runs; the SimHash of each run is one block of the line's 64 bits.
@@ -27,6 +28,10 @@ PAIRS = tuple(combinations(range(5), 2))
 LONG = 64
 #: Rows of buckets that a task looks at together.
 STEP = 1 << 17
+STEP_BYTES = 32 << 20
+#: Pairs whose texts are compared together, and rows of a bucket that one task holds.
+PAIRS_AT_ONCE = 1 << 16
+WIDE = 4096
 #: Size of the bitmap of linked lines, as a power of two of bits: 8 MB, whatever the input.
 BITMAP_BITS = 26
 
@@ -216,38 +221,171 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
-def _alike(batches):
-    """(a, b) of the rows (a, b, text, text) whose edit similarity is at least ``SIMILARITY``."""
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (for each row the least row that it is linked with) after links ``a``-``b`` more."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        to = np.arange(len(label))
+        np.minimum.at(to, np.maximum(x, y), np.minimum(x, y))
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
+def _first_key(differ: np.ndarray) -> np.ndarray:
+    """The first of the ten keys that two SimHashes have in common, of the bits in which they differ; 10 if none."""
+    same = [differ & np.uint64((1 << hi) - (1 << lo)) == 0 for lo, hi in zip(CUTS, CUTS[1:])]
+    out = np.full(len(differ), len(PAIRS))
+    for k, (i, j) in reversed(list(enumerate(PAIRS))):
+        out[same[i] & same[j]] = k
+    return out
+
+
+def _bucket_links(bucket, part, side, h, sim, chars, comp, coded) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rows, rows) that connect in each run of equal (``bucket``, ``part``) what all its linked pairs connect.
+
+    Rows of side 0 are compared with those of side 1, rows of side -1 with all; rows of one ``comp`` are linked already.
+    Each row is held against the first row of its run, then against the next four, the next sixteen and so on, but only while it is not
+    linked with them by the rows before. So a run of alike lines takes one comparison a row, and a run of strangers all its pairs.
+    """
+    n = len(bucket)
+    new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])]) if n else np.zeros(0, bool)
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    pos = np.arange(n) - first
+    label, key = np.arange(n), bucket & 15
+    rows, q, width = np.flatnonzero(pos > 0), 0, 1
+
+    def hold(pairs):
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+        most = (np.maximum(coded.size[a], coded.size[b]) * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+        ok = within_pairs(coded, a, b, most, within)
+        return _joined(label, a[ok], b[ok])
+
+    while len(rows):
+        pairs, held = [], 0
+        for q in range(q, q + width):
+            rows = rows[pos[rows] > q]
+            if not len(rows):
+                break
+            i = rows[label[first[rows] + q] != label[rows]]
+            head = first[i] + q
+            differ = sim[i] ^ sim[head]
+            ok = (np.bitwise_count(differ) <= DISTANCE) & (np.minimum(chars[i], chars[head]) >= np.maximum(chars[i], chars[head]) * SIMILARITY - 1e-9)
+            ok &= (comp[i] != comp[head]) & ((side[i] != side[head]) | (side[i] < 0))
+            i, head, differ = i[ok], head[ok], differ[ok]
+            # near lines are kept in every bucket that they share; they are held against each other in the first
+            ok = _first_key(differ) == key[i]
+            if ok.any():
+                pairs.append((head[ok], i[ok]))
+                held += len(pairs[-1][0])
+            if held >= PAIRS_AT_ONCE:
+                label, pairs, held = hold(pairs), [], 0
+        if pairs:
+            label = hold(pairs)
+        q, width = q + 1, min(4 * width, LONG)
+    linked = np.flatnonzero(label != np.arange(n))
+    return linked, label[linked]
+
+
+def _linked(batches):
+    """(a, b): links that connect what all linked pairs of each run connect, of batches (bucket, part, side, h, sim, chars, comp, text) sorted by bucket and part."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+
+    def emit(t: pa.Table):
+        bucket, part, side, h, sim, chars, comp = (t.column(i).to_numpy() for i in range(7))
+        a, b = _bucket_links(bucket, part, side, h, sim.view(np.uint64), chars, comp, Coded(t.column(7).combine_chunks()))
+        return pa.RecordBatch.from_arrays([pa.array(h[a]), pa.array(h[b])], names=["a", "b"])
+
     for b in batches:
-        texts = zip(b.column(2).to_pylist(), b.column(3).to_pylist())
-        keep = [within(x, y, int(max(len(x), len(y)) * (1 - SIMILARITY) + 1e-9)) for x, y in texts]
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.column(7).nbytes
+        if rows >= STEP or size >= STEP_BYTES:
+            t = pa.Table.from_batches(held)
+            bucket, part = t.column(0).to_numpy(), t.column(1).to_numpy()
+            other = np.flatnonzero((bucket != bucket[-1]) | (part != part[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield emit(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                rows, size = rows - cut, sum(x.nbytes for x in held)
+    if rows:
+        yield emit(pa.Table.from_batches(held))
+
+
+def _place(h: Column, id_: Column, th: Column, line: Column) -> Column:
+    """A number of an occurrence of a line; the same in ``_texts``."""
+    return h.bitwiseXOR(th).bitwiseXOR(line).bitwiseXOR(F.shiftleft(F.coalesce(id_, F.lit(-1)), 8))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(h, text): the normalised text of each line whose hash is in ``wanted`` (h).
+    """(h, text): the normalised text of each line in ``wanted`` (h, first).
 
-    A bitmap of fixed size picks lines while texts are read, so few others are shuffled; the join after it is exact.
+    A bitmap of fixed size picks the first occurrence of each line while texts are read, so few others are shuffled; the join after it is exact.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "h", BITMAP_BITS))
+    place = _place(F.col("h"), F.col("first.doc_id"), F.col("first.th"), F.col("first.line"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("place")), "place", BITMAP_BITS))
 
     def read(batches):
         for b in batches:
-            for _, _, data, offsets in byte_chunks(b.column(0)):
-                _, _, own, _, _, _, start, end = line_records(data, offsets, hashed=False)
-                at = own & np.uint64((1 << BITMAP_BITS) - 1)
-                hit = np.flatnonzero(bits.value[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-                _, once = np.unique(own[hit], return_index=True)
-                hit = hit[once]
+            base = b.column(0).to_numpy()
+            for lo, _, data, offsets in byte_chunks(b.column(1)):
+                row, number, own, _, _, _, start, end = line_records(data, offsets, hashed=False)
+                at = (own.view(np.int64) ^ base[lo + row] ^ number) & ((1 << BITMAP_BITS) - 1)
+                hit = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 if len(hit):
                     raw = data.tobytes()
                     text = pa.array([raw[s:e] for s, e in zip(start[hit].tolist(), end[hit].tolist())], pa.binary()).cast(pa.string())
                     yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), text], names=["h", "text"])
 
-    found = docs.select(text_of().alias("text")).mapInArrow(read, "h long, text string")
+    base = _place(F.lit(0).cast("long"), F.col("doc_id").cast("long"), F.xxhash64(text_of()), F.lit(0).cast("long"))
+    found = docs.select(base.alias("base"), text_of().alias("text")).mapInArrow(read, "h long, text string")
     return found.groupBy("h").agg(F.min("text").alias("text")).join(wanted, "h", "left_semi").select("h", normalised(F.col("text")).alias("text"))
 
 
+def _components(members: DataFrame) -> DataFrame:
+    """(node, component) of the links of all pairs of lines that share a bucket; ``members``: (bucket, h, sim, chars, text).
+
+    Rows of a bucket are dealt to parts of about ``WIDE`` and linked inside their part. In a bucket of several parts the lines
+    outside its largest component so far then visit the other parts, so that every pair of components meets; parts of one component take no visit.
+    """
+    names = ("bucket", "part", "side", "h", "sim", "chars", "comp", "text")
+    out = "a long, b long"
+
+    def links(rows: DataFrame) -> DataFrame:
+        return written(rows.select(*names).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side").mapInArrow(_linked, out))
+
+    wide = written(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("bucket", F.ceil(F.col("n") / WIDE).alias("parts")))
+    some = bool(wide.limit(1).collect())
+    # dealt anew in each bucket, so that the parts of one bucket's lines meet in another
+    home = F.pmod(F.xxhash64("h", "bucket"), F.col("parts"))
+    dealt = members.join(wide, "bucket", "left").withColumn("part", F.coalesce(home, F.lit(0).cast("long"))) if some else members.withColumn("part", F.lit(0).cast("long"))
+    edges = links(dealt.withColumn("side", F.lit(-1)).withColumn("comp", F.col("h")))
+    found = components(edges)
+    if not some:
+        for t in (edges, wide):
+            forget(t)
+        return found
+    own = found.select(F.col("node").alias("h"), "component")
+    rows = written(members.join(wide, "bucket").join(own, "h", "left").withColumn("comp", F.coalesce("component", "h")).drop("component"))
+    sizes = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all")).where("main.n < all")
+    # visitors come in runs of about WIDE, too
+    main = written(main.select("bucket", F.col("main.comp").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / WIDE).alias("runs")))
+    rows = rows.join(main, "bucket").withColumn("home", home)
+    run = F.pmod(F.xxhash64("bucket", "h"), F.col("runs"))
+    at_home = rows.withColumn("side", F.lit(0)).withColumn("to", F.col("home")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)))
+    away = rows.where("comp != main").withColumn("side", F.lit(1)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).where("to != home").withColumn("run", run)
+    more = links(at_home.unionByName(away).withColumn("part", F.col("to") * F.col("runs") + F.col("run")))
+    for t in (found, wide, main):
+        forget(t)
+    return components(edges.union(more))
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups): every line with words as (doc_id, th, line, h), and (h, group, n, first) of each distinct line that is repeated or linked."""
     lines = written(_lines(docs))
@@ -258,31 +396,10 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = _key(F.col("sim"), F.col("tag").bitwiseAND(15).cast("int"))
     met = written(tags.repartition(key).withColumn("bucket", key).sortWithinPartitions("bucket").mapInArrow(_met, "bucket long, sim long").distinct())
     near_lines = written(kinds.join(met.select("sim").distinct(), "sim").select("h", "n", "first", "sim", "chars"))
-    members = met.join(near_lines, "sim").select(F.col("h").alias("id"), F.col("n").alias("weight"), F.struct("sim", "chars").alias("sig"), "bucket")
-
-    def near(a: Column, b: Column) -> Column:
-        close = F.least(a.chars, b.chars) >= F.greatest(a.chars, b.chars) * SIMILARITY - 1e-9
-        return close & (F.bit_count(a.sim.bitwiseXOR(b.sim)) <= DISTANCE)
-
-    def once(bucket: Column, a: Column, b: Column) -> Column:
-        """The first key that both have: near lines are kept in every bucket that they share."""
-        differ = a.sim.bitwiseXOR(b.sim)
-        same = [differ.bitwiseAND(((1 << hi) - (1 << lo)) - (1 << 64 if hi == 64 else 0)) == 0 for lo, hi in zip(CUTS, CUTS[1:])]
-        first = F.when(same[PAIRS[0][0]] & same[PAIRS[0][1]], 0)
-        for k, (i, j) in enumerate(PAIRS[1:], 1):
-            first = first.when(same[i] & same[j], k)
-        return first == bucket.bitwiseAND(15)
-
-    texts = written(_texts(docs, near_lines.select("h")))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("h").alias("b"), F.col("text").alias("tb")), "b")
-        two = one.join(texts.select(F.col("h").alias("a"), F.col("text").alias("ta")), "a")
-        return two.select("a", "b", "ta", "tb").mapInArrow(_alike, "a long, b long")
-
-    shared = meeting(members)
-    found = linked(shared, verify, near, once=once)
-    for t in (met, shared, texts):
+    texts = _texts(docs, near_lines.select("h", "first"))
+    members = written(met.join(near_lines, "sim").select("bucket", "h", "sim", "chars").join(texts, "h"))
+    found = _components(members)
+    for t in (met, members):
         forget(t)
     told = lambda some, how: some.join(found, some.h == found.node, how).select("h", F.coalesce("component", "h").alias("group"), "n", "first")
     return lines, written(told(kinds.where("n > 1"), "left").union(told(near_lines.where("n = 1"), "inner")))

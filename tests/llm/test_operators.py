@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rangeview.llm import ann, decontaminate, groups, hmm, line_dedup, near_dedup, packing, quotes, suffix_dedup, toxicity, url_filter
+from rangeview.llm import ann, decontaminate, edits, groups, hmm, line_dedup, near_dedup, packing, quotes, suffix_dedup, toxicity, url_filter
 
 WORDS = [a + b for a in ("ba", "ke", "lo", "mi", "nu", "ra", "se", "to") for b in ("la", "ren", "sto", "vi", "x", "dor", "ming")]
 DOCS = "doc_id long, text string, id string, h long, score double"
@@ -544,3 +544,48 @@ def test_bounded_edit_distance():
             b[k : k + int(rng.integers(0, 2))] = rng.choice(list("abx"), rng.integers(0, 2)).tolist()
         b = "".join(b)
         assert all(line_dedup.within(a, b, m) == (edit(a, b) <= m) for m in (0, 1, 3, 7, 40)), (a, b)
+
+
+def test_edit_distances_of_many_pairs_equal_single_ones(monkeypatch):
+    monkeypatch.setattr(edits, "FEW", 0)
+    rng = np.random.default_rng(12)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz 0éж"))
+    texts = []
+    for k in range(600):
+        x = rng.choice(letters, int(rng.choice([1, 3, 20, 63, 64, 65, 128, 129, 300, 1600]))).tolist()
+        y = list(x)
+        for i in rng.integers(0, len(y), int(len(y) * rng.random() * 0.3)).tolist():
+            y[i] = str(rng.choice(["", "q", "xy"]))
+        if k % 4 == 0:
+            y = rng.choice(letters, len(x)).tolist() + x[-len(x) // 3 :]
+        texts += ["".join(x), "".join(y) + "漢" * (k % 50 == 0)]
+    a = np.arange(0, len(texts), 2)
+    most = np.array([int(max(len(texts[i]), len(texts[i + 1])) * 0.2 + 1e-9) for i in a])
+    got = edits.within_pairs(edits.Coded(pa.array(texts)), a, a + 1, most, line_dedup.within)
+    assert got.tolist() == [line_dedup.within(texts[i], texts[i + 1], int(m)) for i, m in zip(a, most)]
+
+
+def test_lines_with_one_end_are_not_joined_in_pairs(spark, monkeypatch):
+    """Strangers with one long end share a bucket; no table holds a row for each of their pairs, and links across the parts of a bucket are kept."""
+    rng = np.random.default_rng(13)
+    end = prose(rng, 16)
+    lines = [prose(rng, 14) + " " + end for _ in range(150)]
+    lines += [" ".join("qq" if k == n % 12 else w for k, w in enumerate(t.split(" "))) for n, t in enumerate(lines[:40])]
+    sizes, own = [], line_dedup.written
+    for module in (line_dedup, groups):
+        monkeypatch.setattr(module, "written", lambda df: sizes.append((t := own(df)).count()) or t)
+    monkeypatch.setattr(line_dedup, "WIDE", 16)
+    rows = frame(spark, list(enumerate(lines)))
+    _, got = line_dedup.groups(rows)
+    norm = [line_dedup.line_records(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t in lines]
+    sims, own_h = [int(r[3][0]) for r in norm], [int(r[2].view(np.int64)[0]) for r in norm]
+    same = lambda d: sum(d >> lo & ((1 << hi - lo) - 1) == 0 for lo, hi in zip(line_dedup.CUTS, line_dedup.CUTS[1:]))
+    near = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if (sims[a] ^ sims[b]).bit_count() <= line_dedup.DISTANCE and same(sims[a] ^ sims[b]) >= 2]
+    links = [(a, b) for a, b in near if line_dedup.within(lines[a], lines[b], int(max(len(lines[a]), len(lines[b])) * 0.2 + 1e-9))]
+    root = merged(len(lines), links)
+    want = {frozenset(own_h[k] for k in range(len(lines)) if root[k] == r) for r in root}
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.group, set()).add(r.h)
+    assert {frozenset(g) for g in found.values() if len(g) > 1} == {g for g in want if len(g) > 1}
+    assert len(near) > 10 * len(lines) and max(sizes) < len(near)
