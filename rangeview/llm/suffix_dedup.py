@@ -32,6 +32,8 @@ TRIGGER, GAP = 128, 32
 PACK_BYTES = 1 << 20
 #: Raw text for which there is one shard.
 SHARD_BYTES = 16 << 20
+#: Bytes that a task holds for the shards before it sends them, and what a row costs beside its content.
+OUTBOX_BYTES, PART_BYTES = 24 << 20, 400
 #: A least hash that so many packs share is dealt out by its strings' content.
 HOT = 4096
 LAST = np.int64((1 << 63) - 1)
@@ -251,37 +253,68 @@ def _bits(flags: np.ndarray) -> bytes:
     return flags.astype(np.uint8).tobytes()
 
 
-_SENT = "shard long, f long, keys binary, more binary, low binary, high binary, counts binary, size long, data binary"
-_NAMES = ["shard", "f", "keys", "more", "low", "high", "counts", "size", "data"]
+_SENT = "shard long, g long, packs binary, sizes binary, keys binary, more binary, low binary, high binary, counts binary, size long, data binary"
+_NAMES = ["shard", "g", "packs", "sizes", "keys", "more", "low", "high", "counts", "size", "data"]
 
 
-def _send(f: int, shard: np.ndarray, keys=None, more=None, low=None, high=None, counts=None, pieces=None):
-    """Rows of one pack for the shards it has something for."""
-    cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]]) if len(shard) else np.array([0])
-    raw = lambda a, s, e: b"" if a is None else a[s:e].tobytes()
-    rows = []
-    for s, e in zip(cut[:-1], cut[1:]):
-        data = b"" if pieces is None else b"".join(pieces(k) for k in range(s, e))
-        rows.append((int(shard[s]), f, raw(keys, s, e), raw(more, s, e), raw(low, s, e), raw(high, s, e), raw(counts, s, e), len(data), _zip(data) if data else b""))
-    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
+class _Outbox:
+    """What the packs of a task have for the shards: one row a shard for all packs that are held together, not one for each pack."""
+
+    def __init__(self):
+        self.shards, self.held, self.first = {}, 0, None
+
+    def add(self, f: int, shard: np.ndarray, keys=None, more=None, low=None, high=None, counts=None, pieces=None) -> None:
+        """A pack's sorted shards and what goes to them; a reply has a bit for each key, or as many as ``counts`` says."""
+        if not len(shard):
+            return
+        self.first = f if self.first is None else self.first
+        cut = np.concatenate([[0], np.flatnonzero(np.diff(shard)) + 1, [len(shard)]])
+        raw = lambda a, s, e: b"" if a is None else a[s:e].tobytes()
+        for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            data = b"" if pieces is None else b"".join(pieces(k) for k in range(s, e))
+            part = (f, e - s if counts is None else int(counts[s:e].sum()), *(raw(x, s, e) for x in (keys, more, low, high, counts)), data)
+            self.shards.setdefault(int(shard[s]), []).append(part)
+            self.held += PART_BYTES + sum(map(len, part[2:]))
+
+    def flush(self, least: int = 1):
+        """A batch of what is held, if that is ``least`` bytes."""
+        if self.held < least:
+            return
+        rows = []
+        for shard, parts in self.shards.items():
+            f, sizes, *held = zip(*parts)
+            *columns, data = map(b"".join, held)
+            rows.append((shard, self.first, np.array(f, "<i8").tobytes(), np.array(sizes, "<i8").tobytes(), *columns, len(data), _zip(data) if data else b""))
+        types = (pa.int64(), pa.int64(), *[pa.binary()] * 7, pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=_NAMES)
+        self.__init__()
 
 
 def _exchange(sent: DataFrame, answer) -> DataFrame:
     """(f, reply): what ``answer`` gives each pack's keys, joined in shard order."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("f")
+        group = group.sort_values("g")
         sizes, flags = answer(group)
         cuts = np.cumsum(sizes)[:-1]
-        return pd.DataFrame({"f": group["f"].to_numpy(), "shard": group["shard"].to_numpy(), "bits": [_zip(_bits(x)) for x in np.split(flags, cuts)], "n": sizes})
+        return pd.DataFrame({"g": group["g"].to_numpy(), "shard": group["shard"].to_numpy(), "packs": group["packs"].to_numpy(), "sizes": group["sizes"].to_numpy(), "bits": [_zip(_bits(x)) for x in np.split(flags, cuts)], "n": sizes})
+
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        own: dict[int, list[bytes]] = {}
+        for _, f, sizes, bits, n in sorted(zip(group["shard"], group["packs"], group["sizes"], group["bits"], group["n"])):
+            bits, at = _unzip(bits, n), 0
+            for k, size in zip(np.frombuffer(f, "<i8").tolist(), np.frombuffer(sizes, "<i8").tolist()):
+                own.setdefault(k, []).append(bits[at : at + size])
+                at += size
+        joined = [b"".join(x) for x in own.values()]
+        return pd.DataFrame({"f": list(own), "bits": [_zip(x) for x in joined], "n": [len(x) for x in joined]})
 
-    replies = sent.groupBy("shard").applyInPandas(run, "f long, shard long, bits binary, n long")
-    return written(replies.groupBy("f").agg(F.sort_array(F.collect_list(F.struct("shard", "bits", "n"))).alias("reply")))
+    replies = sent.groupBy("shard").applyInPandas(run, "g long, shard long, packs binary, sizes binary, bits binary, n long")
+    return written(replies.groupBy("g").applyInPandas(part, "f long, bits binary, n long").select("f", F.struct("bits", "n").alias("reply")))
 
 
 def _joined(reply) -> np.ndarray:
-    return np.frombuffer(b"".join(_unzip(r["bits"], r["n"]) for r in reply or []), np.uint8)
+    return np.frombuffer(_unzip(reply["bits"], reply["n"]) if reply else b"", np.uint8)
 
 
 def _column(group: pd.DataFrame, name: str, kind: str) -> np.ndarray:
@@ -348,22 +381,26 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
             yield r, Pack(r["ids"], r["offsets"], r["size"], r["data"])
 
     def phrases(batches):
+        out = _Outbox()
         for b in batches:
             for r, p in rows(b):
                 _, _, _, shard, k1, k2, low, _ = _phrase_keys(p, shards)
-                if len(shard):
-                    yield _send(r["f"], shard, k1, k2, low)
+                out.add(r["f"], shard, k1, k2, low)
+                yield from out.flush(OUTBOX_BYTES)
+        yield from out.flush()
 
     one = _exchange(packs.mapInArrow(phrases, _SENT), _phrase_answer)
     after_one = packs.join(one.withColumnRenamed("reply", "one"), "f", "left")
 
     def leasts(batches):
+        out = _Outbox()
         for b in batches:
             for r, p in rows(b):
                 _, open_ = _unresolved(p, shards, _joined(r["one"]))
                 _, shard, key, low, high, _ = _least_keys(p, open_, shards)
-                if len(shard):
-                    yield _send(r["f"], shard, key, None, low, high)
+                out.add(r["f"], shard, key, None, low, high)
+                yield from out.flush(OUTBOX_BYTES)
+        yield from out.flush()
 
     two = _exchange(after_one.mapInArrow(leasts, _SENT), _least_answer)
     after_two = after_one.join(two.withColumnRenamed("reply", "two"), "f", "left")
@@ -375,11 +412,13 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
         return lost, _segments(p, at, keys[place] if len(at) else keys, code, 4 * shards)
 
     def strings(batches):
+        out = _Outbox()
         for b in batches:
             for r, p in rows(b):
                 _, (shard, start, n, low, _) = suspects(p, r)
-                if len(shard):
-                    yield _send(r["f"], shard, None, None, low, None, n, pieces=lambda k, p=p, start=start, n=n: p.raw[start[k] : start[k] + n[k] + SPAN - 1])
+                out.add(r["f"], shard, None, None, low, None, n, pieces=lambda k, p=p, start=start, n=n: p.raw[start[k] : start[k] + n[k] + SPAN - 1])
+                yield from out.flush(OUTBOX_BYTES)
+        yield from out.flush()
 
     three = _exchange(after_two.mapInArrow(strings, _SENT), _suffix_answer)
     after_three = after_two.join(three.withColumnRenamed("reply", "three"), "f", "left")

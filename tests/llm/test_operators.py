@@ -589,3 +589,22 @@ def test_lines_with_one_end_are_not_joined_in_pairs(spark, monkeypatch):
         found.setdefault(r.group, set()).add(r.h)
     assert {frozenset(g) for g in found.values() if len(g) > 1} == {g for g in want if len(g) > 1}
     assert len(near) > 10 * len(lines) and max(sizes) < len(near)
+
+
+def test_packs_of_a_task_send_each_shard_one_row():
+    out, shards = suffix_dedup._Outbox(), np.repeat(np.arange(50), 2)
+    keys = [np.arange(100, dtype=np.uint64) + np.uint64(1000 * f) for f in range(30)]
+    for f in range(30):
+        out.add(f, shards, keys[f])
+    rows = [r for b in out.flush() for r in b.to_pylist()]
+    assert len(rows) == 50 and not list(out.flush())
+    for r in rows:
+        assert np.frombuffer(r["packs"], "<i8").tolist() == list(range(30)) and np.frombuffer(r["sizes"], "<i8").tolist() == [2] * 30
+        assert np.frombuffer(r["keys"], "<u8").tolist() == [int(k) for f in range(30) for k in keys[f][2 * r["shard"] : 2 * r["shard"] + 2]]
+
+
+def test_repeats_do_not_depend_on_what_is_sent_together(spark, corpus, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PACK_BYTES", 2000)
+    together = sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, corpus).coalesce(1)).collect()), key=str)
+    monkeypatch.setattr(suffix_dedup, "OUTBOX_BYTES", 1)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, corpus).repartition(5)).collect()), key=str) == together
