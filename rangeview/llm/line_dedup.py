@@ -139,7 +139,7 @@ def _key(sim: Column, k: Column) -> Column:
 
 
 def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Of rows sorted by ``group``: whether another row of the group is near; all rows of a group of over ``LONG``."""
+    """Of rows sorted by ``group``, a bucket: whether another row of it is near and shares no bucket of an earlier key; all rows of a bucket of over ``LONG``."""
     n = len(group)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     size = np.repeat(np.diff(np.append(first, n)), np.diff(np.append(first, n)))
@@ -151,7 +151,9 @@ def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
         if not len(i):
             break
         a, b = chars[i], chars[i + d]
-        ok = (np.bitwise_count((sim[i] ^ sim[i + d]).view(np.uint64)) <= DISTANCE) & (np.minimum(a, b) >= np.maximum(a, b) * SIMILARITY - 1e-9)
+        differ = (sim[i] ^ sim[i + d]).view(np.uint64)
+        ok = np.flatnonzero((np.bitwise_count(differ) <= DISTANCE) & (np.minimum(a, b) >= np.maximum(a, b) * SIMILARITY - 1e-9))
+        ok = ok[_first_key(differ[ok]) == group[i[ok]] & 15]
         keep[i[ok]] = keep[i[ok] + d] = True
     return keep
 
@@ -277,7 +279,7 @@ def _bucket_links(bucket, part, side, h, sim, chars, comp, coded) -> tuple[np.nd
             ok = (np.bitwise_count(differ) <= DISTANCE) & (np.minimum(chars[i], chars[head]) >= np.maximum(chars[i], chars[head]) * SIMILARITY - 1e-9)
             ok &= (comp[i] != comp[head]) & ((side[i] != side[head]) | (side[i] < 0))
             i, head, differ = i[ok], head[ok], differ[ok]
-            # near lines are kept in every bucket that they share; they are held against each other in the first
+            # lines that share several buckets are held against each other in the first
             ok = _first_key(differ) == key[i]
             if ok.any():
                 pairs.append((head[ok], i[ok]))
