@@ -14,6 +14,9 @@ WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 FEW = 16
 #: Words of all columns that are worked on together, so that they stay in the cache.
 TOGETHER = 16384
+#: Classes that codes are counted in, by their last five bits, and codes and pairs that are looked at together for that.
+CLASSES = 32
+CODES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 15
 
 
 class Coded:
@@ -33,13 +36,29 @@ class Coded:
         self.codes = np.append(code[signs], np.uint8(0))
         rare = np.concatenate([[0], np.cumsum(self.codes[:-1] == 0)])
         self.plain = rare[self.start + self.size] == rare[self.start]
+        self.counts = np.zeros((len(self.size), CLASSES), np.int32)
+        ends, at = self.start + self.size, 0
+        while at < len(ends):
+            k = max(at + 1, int(np.searchsorted(ends, self.start[at] + CODES_AT_ONCE, "right")))
+            k = min(k, at + CODES_AT_ONCE // CLASSES)
+            row = np.repeat(np.arange(k - at) * CLASSES, self.size[at:k])
+            self.counts[at:k] = np.bincount(row + self.codes[self.start[at] : ends[k - 1]] % CLASSES, minlength=(k - at) * CLASSES).reshape(-1, CLASSES)
+            at = k
+
+    def least(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Edits that the texts ``x`` and ``y`` differ by at least: the signs of a class that one has more than the other, on the side with more of them."""
+        out = np.zeros(len(x), np.int64)
+        for k in range(0, len(x), PAIRS_AT_ONCE):
+            a, b = x[k : k + PAIRS_AT_ONCE], y[k : k + PAIRS_AT_ONCE]
+            out[k : k + PAIRS_AT_ONCE] = (np.abs(self.counts[a] - self.counts[b]).sum(1) + np.abs(self.size[a] - self.size[b])) // 2
+        return out
 
 
 def within_pairs(coded: Coded, a: np.ndarray, b: np.ndarray, most: np.ndarray, one) -> np.ndarray:
     """Whether the edit distance of each pair of texts (numbers ``a``, ``b``) is at most ``most``; ``one(x, y, most)`` tells it of pairs with rare signs or very long rests."""
     swap = coded.size[a] > coded.size[b]
     x, y = np.where(swap, b, a), np.where(swap, a, b)
-    out = coded.size[y] - coded.size[x] <= most
+    out = coded.least(x, y) <= most
     if not out.any():
         return out
     scalar = out & ~(coded.plain[x] & coded.plain[y])

@@ -25,7 +25,13 @@ FEW_WORDS = 10
 LEAST_CHARS = 5
 PAIRS = tuple(combinations(range(5), 2))
 #: Rows of a bucket up to which all are compared at once; of a longer one, all rows go on and are compared in rounds.
-LONG = 64
+LONG = 1024
+#: Rows of a bucket that each other one is held against in one round, at most.
+ROUND = 64
+#: Signs of a line are counted in so many classes, by their last byte; each count is kept modulo 32, twelve in a word.
+CLASSES = 24
+#: Lines whose signs are counted together.
+LINES_AT_ONCE = 1 << 13
 #: Rows of buckets that a task looks at together.
 STEP = 1 << 17
 STEP_BYTES = 32 << 20
@@ -35,6 +41,7 @@ WIDE = 4096
 #: Size of the bitmap of linked lines, as a power of two of bits: 8 MB, whatever the input.
 BITMAP_BITS = 26
 
+_CLASS = np.arange(256) % CLASSES
 _FOLD = WORDS.copy()
 _FOLD[48:58] = 48
 #: Sizes of the five runs of a line of so few features that they do not fill them.
@@ -73,8 +80,40 @@ def block_hashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def sign_counts(data: np.ndarray, folded: np.ndarray, lines: np.ndarray, full: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(2, lines): how many signs of each class the normalised text of each line ``full`` has, modulo 32, twelve classes in a word."""
+    last = (folded != 0) & (np.append(data[1:], np.uint8(0)) & 0xC0 != 0x80)
+    out = np.zeros((2, len(full)), np.uint64)
+    for k in range(0, len(full), LINES_AT_ONCE):
+        own = full[k : k + LINES_AT_ONCE]
+        lo, hi = lines[own[0]], lines[own[-1] + 1]
+        at = np.flatnonzero(last[lo:hi])
+        # lines between those of ``full`` hold no sign
+        size = np.diff(np.searchsorted(at, lines[own + 1] - lo), prepend=0)
+        n = np.bincount(np.repeat(np.arange(len(own)) * CLASSES, size) + _CLASS[folded[lo:hi][at]], minlength=len(own) * CLASSES).reshape(-1, CLASSES)
+        n[:, 0] += counts[own] - 1  # the blanks between the words
+        n = (n & 31).astype(np.uint64)
+        for c in range(CLASSES):
+            out[c // 12, k : k + len(own)] |= n[:, c] << np.uint64(c % 12 * 5)
+    return out
+
+
+def may_link(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines of ``a`` and ``b`` characters and sign counts ``x`` and ``y`` (2, pairs) can be within the similarity; never false for lines that are.
+
+    One edit changes the counts by two in sum if it keeps the length, else by one; counts modulo 32 differ by no more than the counts.
+    """
+    apart = np.abs(a - b)
+    edits = apart.copy()
+    for p, q in zip(x, y):
+        for shift in range(0, 60, 5):
+            d = ((p >> np.uint64(shift)) - (q >> np.uint64(shift)) & np.uint64(31)).astype(np.int64)
+            edits += np.minimum(d, 32 - d)
+    return edits <= np.maximum(a, b) * 2 * (1 - SIMILARITY) + 1e-6
+
+
 def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
-    """(row, line number, hash, block SimHash, characters, words, first byte, end) of each line with words, of texts given as bytes; no SimHash if not ``hashed``."""
+    """(row, line number, hash, block SimHash, characters, words, first byte, end, sign counts) of each line with words, of texts given as bytes; no SimHash and no counts if not ``hashed``."""
     breaks = np.flatnonzero(data == 10)
     doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
     start = np.concatenate([offsets[:-1], breaks + 1])
@@ -105,10 +144,11 @@ def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
         at = np.flatnonzero((folded != 0) & np.repeat(short, np.diff(lines)))
         of = np.searchsorted(lines, at, "right") - 1
         after = np.where(at + 1 < lines[of + 1], np.append(folded, np.uint8(0))[at + 1], 0).astype(np.uint64)
-        signs = np.bincount(of, minlength=len(counts))
-        sim[few] = block_hashes(mix(folded[at].astype(np.uint64) << np.uint64(8) | after), signs[full[few]])
+        size = np.bincount(of, minlength=len(counts))
+        sim[few] = block_hashes(mix(folded[at].astype(np.uint64) << np.uint64(8) | after), size[full[few]])
     end = np.append(start[1:] - (doc[1:] == doc[:-1]), len(data))
-    return doc[full], number[full], own[full], sim, chars[full], counts[full], start[full], end[full]
+    signs = sign_counts(data, folded, lines, full, counts) if hashed else None
+    return doc[full], number[full], own[full], sim, chars[full], counts[full], start[full], end[full], signs
 
 
 def normalised(text: Column) -> Column:
@@ -124,12 +164,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     def read(batches):
         for b in batches:
             for lo, _, data, offsets in byte_chunks(b.column(2)):
-                row, number, own, sim, chars, _, _, _ = line_records(data, offsets)
+                row, number, own, sim, chars, _, _, _, signs = line_records(data, offsets)
                 if len(row):
                     at = pa.array(lo + row)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(number), pa.array(own.view(np.int64)), pa.array(sim.view(np.int64)), pa.array(chars.astype(np.int64))], names=["doc_id", "th", "line", "h", "sim", "chars"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(x.view(np.int64)) for x in (number, own, sim, chars.astype(np.int64), *signs))], names=["doc_id", "th", "line", "h", "sim", "chars", "signs", "signs2"])
 
-    return base.mapInArrow(read, "doc_id long, th long, line long, h long, sim long, chars long")
+    return base.mapInArrow(read, "doc_id long, th long, line long, h long, sim long, chars long, signs long, signs2 long")
 
 
 def _key(sim: Column, k: Column) -> Column:
@@ -138,8 +178,8 @@ def _key(sim: Column, k: Column) -> Column:
     return F.get(F.array(*[(block(i) * (1 << 13) + block(j)) * 16 + n for n, (i, j) in enumerate(PAIRS)]), k)
 
 
-def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
-    """Of rows sorted by ``group``, a bucket: whether another row of it is near and shares no bucket of an earlier key; all rows of a bucket of over ``LONG``."""
+def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Of rows sorted by ``group``, a bucket: whether another row of it is near, may be a link by its ``signs`` and shares no bucket of an earlier key; all rows of a bucket of over ``LONG``."""
     n = len(group)
     first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     size = np.repeat(np.diff(np.append(first, n)), np.diff(np.append(first, n)))
@@ -150,38 +190,41 @@ def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray) -> np.ndarray:
         i = i[group[i] == group[i + d]]
         if not len(i):
             break
-        a, b = chars[i], chars[i + d]
-        differ = (sim[i] ^ sim[i + d]).view(np.uint64)
+        open_ = i[~(keep[i] & keep[i + d])]
+        a, b = chars[open_], chars[open_ + d]
+        differ = (sim[open_] ^ sim[open_ + d]).view(np.uint64)
         ok = np.flatnonzero((np.bitwise_count(differ) <= DISTANCE) & (np.minimum(a, b) >= np.maximum(a, b) * SIMILARITY - 1e-9))
-        ok = ok[_first_key(differ[ok]) == group[i[ok]] & 15]
-        keep[i[ok]] = keep[i[ok] + d] = True
+        ok = ok[_first_key(differ[ok]) == group[open_[ok]] & 15]
+        ok = ok[may_link(signs[:, open_[ok]], signs[:, open_[ok] + d], a[ok], b[ok])]
+        keep[open_[ok]] = keep[open_[ok] + d] = True
     return keep
 
 
 def _met(batches):
-    """(bucket, sim) of rows with a partner, of batches (sim, tag, bucket) sorted by bucket; tag is 16 * characters + key."""
+    """(bucket, sim) of rows with a partner, of batches (sim, tag, signs, signs2, bucket) sorted by bucket; tag is 16 * characters + key."""
     held: list[list[np.ndarray]] = []
     rows, wide = 0, None
 
-    def emit(bucket, tag, sim):
-        keep = _close(bucket, sim, tag >> 4)
+    def emit(bucket, tag, sim, *signs):
+        keep = _close(bucket, sim, tag >> 4, np.stack(signs).view(np.uint64))
         if wide is not None:
             keep |= bucket == wide
         if keep.any():
             yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(sim[keep])], names=["bucket", "sim"])
 
     for b in batches:
-        held.append([b.column(i).to_numpy() for i in (2, 1, 0)])
+        held.append([b.column(i).to_numpy() for i in (4, 1, 0, 2, 3)])
         rows += b.num_rows
         if rows >= STEP:
-            bucket, tag, sim = (np.concatenate(x) for x in zip(*held))
+            columns = [np.concatenate(x) for x in zip(*held)]
+            bucket, _, sim = columns[:3]
             cut = int(np.searchsorted(bucket, bucket[-1], "left"))
-            yield from emit(bucket[:cut], tag[:cut], sim[:cut])
+            yield from emit(*(x[:cut] for x in columns))
             if rows - cut >= STEP:  # a bucket too long to hold: all its rows go on
                 wide = bucket[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cut:]), pa.array(sim[cut:])], names=["bucket", "sim"])
                 cut = rows
-            held, rows = [[bucket[cut:], tag[cut:], sim[cut:]]], rows - cut
+            held, rows = [[x[cut:] for x in columns]], rows - cut
     if rows:
         yield from emit(*(np.concatenate(x) for x in zip(*held)))
 
@@ -288,7 +331,7 @@ def _bucket_links(bucket, part, side, h, sim, chars, comp, coded) -> tuple[np.nd
                 label, pairs, held = hold(pairs), [], 0
         if pairs:
             label = hold(pairs)
-        q, width = q + 1, min(4 * width, LONG)
+        q, width = q + 1, min(4 * width, ROUND)
     linked = np.flatnonzero(label != np.arange(n))
     return linked, label[linked]
 
@@ -336,7 +379,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for b in batches:
             base = b.column(0).to_numpy()
             for lo, _, data, offsets in byte_chunks(b.column(1)):
-                row, number, own, _, _, _, start, end = line_records(data, offsets, hashed=False)
+                row, number, own, _, _, _, start, end, _ = line_records(data, offsets, hashed=False)
                 at = (own.view(np.int64) ^ base[lo + row] ^ number) & ((1 << BITMAP_BITS) - 1)
                 hit = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
                 if len(hit):
@@ -392,9 +435,9 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(occurrences, groups): every line with words as (doc_id, th, line, h), and (h, group, n, first) of each distinct line that is repeated or linked."""
     lines = written(_lines(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
-    kinds = written(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), F.first("sim").alias("sim"), F.first("chars").alias("chars")))
+    kinds = written(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("sim", "chars", "signs", "signs2")]))
     # ten small rows a line are dealt once by their key; only lines with a near partner go on
-    tags = kinds.where(F.col("chars") >= LEAST_CHARS).select("sim", F.explode(F.array(*[F.col("chars") * 16 + k for k in range(len(PAIRS))])).alias("tag"))
+    tags = kinds.where(F.col("chars") >= LEAST_CHARS).select("sim", "signs", "signs2", F.explode(F.array(*[F.col("chars") * 16 + k for k in range(len(PAIRS))])).alias("tag")).select("sim", "tag", "signs", "signs2")
     key = _key(F.col("sim"), F.col("tag").bitwiseAND(15).cast("int"))
     met = written(tags.repartition(key).withColumn("bucket", key).sortWithinPartitions("bucket").mapInArrow(_met, "bucket long, sim long").distinct())
     near_lines = written(kinds.join(met.select("sim").distinct(), "sim").select("h", "n", "first", "sim", "chars"))

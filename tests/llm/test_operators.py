@@ -565,6 +565,41 @@ def test_edit_distances_of_many_pairs_equal_single_ones(monkeypatch):
     assert got.tolist() == [line_dedup.within(texts[i], texts[i + 1], int(m)) for i, m in zip(a, most)]
 
 
+def test_lines_that_meet_by_chance_do_not_go_on():
+    """Rows that a bucket sends on are those whose sign counts allow a link: no link is lost, and most strangers stay behind."""
+    rng = np.random.default_rng(14)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz0éж漢\U0001f600"))
+    word = lambda: "".join(rng.choice(letters, rng.integers(1, 9)))
+    pairs = []
+    for k in range(400):
+        x = [word() for _ in range(rng.integers(1, 120))]
+        y = list(" ".join(x))
+        for i in rng.integers(0, len(y), int(len(y) * rng.random() * 0.3)).tolist():
+            y[i] = str(rng.choice(["", "q", "xy", "é", " "]))
+        pairs += [" ".join(x), " ".join("".join(y).split()) or "q"] if k % 2 else [" ".join(x), " ".join(x[:4] + [word() for _ in x[4:]])]
+    raw = [t.encode() for t in pairs]
+    records = line_dedup.line_records(np.frombuffer(b"\n".join(raw), np.uint8), np.array([0, sum(map(len, raw)) + len(raw) - 1]))
+    chars, signs = records[4].astype(np.int64), records[8]
+    one = np.concatenate([line_dedup.line_records(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[8] for r in raw], axis=1)
+    assert (signs == one).all() and chars.tolist() == [len(t) for t in pairs]
+    may = line_dedup.may_link(signs[:, ::2], signs[:, 1::2], chars[::2], chars[1::2])
+    coded = edits.Coded(pa.array(pairs))
+    least = coded.least(np.arange(0, len(pairs), 2), np.arange(1, len(pairs), 2))
+    far = [edit(x, y) for x, y in zip(pairs[::2], pairs[1::2])]
+    link = np.array([d <= 0.2 * max(len(x), len(y)) + 1e-9 for d, x, y in zip(far, pairs[::2], pairs[1::2])])
+    assert (least <= far).all() and may[link].all() and link.sum() > 50 and not may.all()
+
+    # buckets of two strangers with equal SimHashes; before, all of them went on
+    lines = [" ".join(str(w) for w in rng.choice(WORDS, 12)) for _ in range(400)]
+    texts = [t for k, x in enumerate(lines) for t in ([x, x[:-1]] if k % 40 == 0 else [x])]
+    bucket = np.array([k // 2 * 16 for k, x in enumerate(lines) for _ in range(2 if k % 40 == 0 else 1)])
+    raw = "\n".join(texts).encode()
+    records = line_dedup.line_records(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    kept = line_dedup._close(bucket, np.zeros(len(texts), np.int64), records[4].astype(np.int64), records[8])
+    pair = np.array([x == y[:-1] or y == x[:-1] for x, y in zip(texts, texts[1:])])
+    assert pair.sum() == 10 and kept[:-1][pair].all() and kept[1:][pair].all() and kept.mean() < 0.5, kept.mean()
+
+
 def test_lines_with_one_end_are_not_joined_in_pairs(spark, monkeypatch):
     """Strangers with one long end share a bucket; no table holds a row for each of their pairs, and links across the parts of a bucket are kept."""
     rng = np.random.default_rng(13)
