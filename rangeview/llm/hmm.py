@@ -27,8 +27,8 @@ STATES = 8
 ROUNDS = 4
 #: Steps of forward and backward that are held at once; longer texts are gone through by blocks, whole all the same.
 BLOCK = 1 << 20
-#: Tokens that a task holds at once, and those that a round of the first guess looks at together.
-HOLD, GUESS_HOLD = 2_000_000, 1 << 18
+#: Tokens that a task steps through together, those that it holds to put texts of like length together, and those that a round of the first guess looks at together.
+HOLD, GATHER, GUESS_HOLD = 1 << 19, 1 << 23, 1 << 18
 #: Rounds of the mixture that the first guess is made by.
 GUESS_ROUNDS = 15
 
@@ -99,13 +99,14 @@ def forward(model: Model, ids: list[np.ndarray]) -> np.ndarray:
     out, total = np.zeros(len(ids)), np.zeros(len(ids))
     if not len(ids):
         return out
-    alive = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right")
+    alive = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right").tolist()
+    each = np.ones(len(model.start))
     alpha = model.start * model.emit[flat[first]]
-    for t in range(int(n[0])):
-        k = alive[t]
+    for t, k in enumerate(alive):
         if t:
-            alpha = (alpha[:k] @ model.move) * model.emit[flat[first[:k] + t]]
-        scale = alpha.sum(1)
+            alpha = alpha[:k] @ model.move
+            alpha *= model.emit.take(flat.take(first[:k] + t), 0)
+        scale = alpha @ each
         total[:k] += np.log(scale)
         alpha /= scale[:, None]
     out[order] = total
@@ -122,21 +123,24 @@ def expected(model: Model, ids: list[np.ndarray], longest: int = BLOCK) -> np.nd
     flat, first, n, _ = _flat(ids)
     emit_counts, moves, starts, loglik = np.zeros((SYMBOLS + 1, s)), np.zeros((s, s)), np.zeros(s), 0.0
     alive = np.searchsorted(-n, -np.arange(1, int(n[0]) + 1), "right") if len(n) else np.zeros(0, np.int64)
+    each, back_move = np.ones(s), np.ascontiguousarray(model.move.T)
 
     def ahead(lo, border):
-        """(ids, observations, forward values, scales, places) of the steps of the block from ``lo``, after ``border``."""
+        """(ids, observations over scales, forward values, scales, places, last forward values) of the steps of the block from ``lo``, after ``border``."""
         own = alive[lo : lo + longest]
-        place = np.concatenate([[0], np.cumsum(own)])
-        ids_t = flat[np.concatenate([first[:k] + lo + t for t, k in enumerate(own)])]
-        obs = model.emit[ids_t]
+        place = [0, *np.cumsum(own).tolist()]
+        ids_t = flat[np.concatenate([first[:k] + lo + t for t, k in enumerate(own.tolist())])]
+        obs = model.emit.take(ids_t, 0)
         alphas, scales = np.empty_like(obs), np.empty(len(obs))
-        for t, k in enumerate(own):
-            here = slice(place[t], place[t + 1])
-            a = (border[:k] @ model.move if lo + t else model.start) * obs[here]
-            c = a.sum(1)
-            scales[here] = c
-            alphas[here] = border = a / c[:, None]
-        return ids_t, obs, alphas, scales, place, border
+        for t, k in enumerate(own.tolist()):
+            seen, a, c = obs[place[t] : place[t + 1]], alphas[place[t] : place[t + 1]], scales[place[t] : place[t + 1]]
+            np.multiply(border[:k] @ model.move if lo + t else model.start, seen, out=a)
+            np.matmul(a, each, out=c)
+            over = c[:, None]
+            a /= over
+            seen /= over
+            border = a
+        return ids_t, obs, alphas, scales, place, border.copy()
 
     blocks, borders = list(range(0, len(alive), longest)), [None]
     for lo in blocks[:-1]:
@@ -153,18 +157,19 @@ def expected(model: Model, ids: list[np.ndarray], longest: int = BLOCK) -> np.nd
                 break
             k = alive[lo + t]
             before = alphas[place[t - 1] : place[t - 1] + k] if t else border[:k]
-            weight = obs[here] * beta / scales[here, None]
+            weight = obs[here]
+            weight *= beta
             moves += before.T @ weight
             back = np.ones((alive[lo + t - 1], s))
-            back[:k] = weight @ model.move.T
+            np.matmul(weight, back_move, out=back[:k])
             alphas[here] *= beta  # of no more use as forward values
             beta = back
-        for k in range(s):
-            emit_counts[:, k] += np.bincount(ids_t, alphas[:, k], SYMBOLS + 1)
+        for k, weight in enumerate(np.ascontiguousarray(alphas.T)):
+            emit_counts[:, k] += np.bincount(ids_t, weight, SYMBOLS + 1)
     return np.concatenate([starts, (moves * model.move).ravel(), emit_counts.ravel(), [loglik]])
 
 
-def _held(batches, column: int, hold: int = HOLD):
+def _held(batches, column: int, hold: int):
     """Lists of id arrays of about ``hold`` tokens."""
     out, held = [], 0
     for b in batches:
@@ -179,6 +184,14 @@ def _held(batches, column: int, hold: int = HOLD):
         yield out
 
 
+def _alike(ids: list[np.ndarray], hold: int | None = None) -> list[np.ndarray]:
+    """Numbers of the texts in runs of about ``hold`` tokens (``HOLD``), longest texts first: a run takes a step for each place of its longest text."""
+    n = np.array([len(i) for i in ids], np.int64)
+    order = np.argsort(-n, kind="stable")
+    ends = np.cumsum(n[order])
+    return np.split(order, np.flatnonzero(np.diff((ends - 1) // (hold or HOLD))) + 1)
+
+
 def estimate(counts: np.ndarray, share: np.ndarray, s: int) -> Model:
     """The model of the expected counts; emissions lean on the shares of all tokens with a weight of 5 tokens."""
     starts, moves, emits = counts[:s], counts[s : s + s * s].reshape(s, s), counts[s + s * s : s + s * s + (SYMBOLS + 1) * s].reshape(SYMBOLS + 1, s)
@@ -187,19 +200,19 @@ def estimate(counts: np.ndarray, share: np.ndarray, s: int) -> Model:
 
 def distances(ids: list[np.ndarray], logs: np.ndarray) -> np.ndarray:
     """(texts, states): the sums of the log weights ``logs`` (SYMBOLS + 1, states) over each text's tokens."""
-    lengths = np.array([len(i) for i in ids])
-    return np.add.reduceat(logs[np.concatenate(ids)], np.cumsum(lengths) - lengths, axis=0)
+    lengths, cols = np.array([len(i) for i in ids]), np.concatenate(ids).astype(np.int64)
+    first = np.cumsum(lengths) - lengths
+    # a state at a time: columns in one piece stay in the cache
+    return np.stack([np.add.reduceat(own.take(cols), first) for own in np.ascontiguousarray(logs.T)], 1)
 
 
-def mixture_counts(ids: list[np.ndarray], prior: np.ndarray, emit: np.ndarray) -> np.ndarray:
-    """Expected numbers of texts and of tokens of each state of a mixture of unigrams, as one array."""
-    s = len(prior)
-    ll = distances(ids, np.log(emit)) + np.log(prior)
+def mixture_counts(ids: list[np.ndarray], prior: np.ndarray, emit: np.ndarray, logs: np.ndarray | None = None) -> np.ndarray:
+    """Expected numbers of texts and of tokens of each state of a mixture of unigrams, as one array; ``logs``: those of ``emit``, if known."""
+    ll = distances(ids, np.log(emit) if logs is None else logs) + np.log(prior)
     r = np.exp((ll - ll.max(1, keepdims=True)) * 0.2)
     r /= r.sum(1, keepdims=True)
-    cols = np.concatenate(ids)
-    each = np.repeat(r, [len(i) for i in ids], axis=0)
-    return np.concatenate([r.sum(0), np.stack([np.bincount(cols, each[:, k], SYMBOLS + 1) for k in range(s)], 1).ravel()])
+    lengths, cols = np.array([len(i) for i in ids]), np.concatenate(ids).astype(np.int64)
+    return np.concatenate([r.sum(0), np.stack([np.bincount(cols, np.repeat(own, lengths), SYMBOLS + 1) for own in np.ascontiguousarray(r.T)], 1).ravel()])
 
 
 def first_guess(texts: DataFrame, share: np.ndarray, s: int) -> Model:
@@ -238,9 +251,9 @@ def first_guess(texts: DataFrame, share: np.ndarray, s: int) -> Model:
         shared = spark.sparkContext.broadcast((prior, emit))
 
         def add(batches, shared=shared):
-            out = np.zeros(1)
+            out, logs = np.zeros(1), np.log(shared.value[1])
             for held in _held(batches, 0, GUESS_HOLD):
-                out = out + mixture_counts(held, *shared.value)
+                out = out + mixture_counts(held, *shared.value, logs)
             return out
 
         counts = summed(texts, add, s + (SYMBOLS + 1) * s)
@@ -333,8 +346,9 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
 
         def add(batches, shared=shared):
             out = np.zeros(1)
-            for held in _held(batches, 0):
-                out = out + expected(shared.value, held)
+            for held in _held(batches, 0, GATHER):
+                for run in _alike(held):
+                    out = out + expected(shared.value, [held[k] for k in run])
             return out
 
         model = estimate(summed(texts, add, states + states * states + (SYMBOLS + 1) * states + 1), share, states)
@@ -345,7 +359,10 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
         rows, ids, held = [], [], 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))] + [pa.array(forward(final.value, ids) / math.log(10))], names=["doc_id", "training", "n_tokens", "known", "base", "rare", "row", "hmm"])
+            found = np.zeros(len(ids))
+            for run in _alike(ids):
+                found[run] = forward(final.value, [ids[k] for k in run]) / math.log(10)
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))] + [pa.array(found)], names=["doc_id", "training", "n_tokens", "known", "base", "rare", "row", "hmm"])
 
         for b in batches:
             columns = [b.column(k).to_pylist() for k in range(7)]
@@ -353,7 +370,7 @@ def score(docs: DataFrame, training, states: int = STATES, rounds: int = ROUNDS)
             got = [np.frombuffer(x, "<u2") for x in b.column(7).to_pylist()]
             ids += got
             held += sum(map(len, got))
-            if held >= HOLD:
+            if held >= GATHER:
                 yield flush()
                 rows, ids, held = [], [], 0
         if rows:

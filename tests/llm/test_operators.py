@@ -442,6 +442,25 @@ def test_hmm_learns_from_whole_texts(spark):
     assert a[:2].sum() == pytest.approx(len(texts)) and a[2:].sum() == pytest.approx(sum(map(len, texts)))
 
 
+def test_hmm_steps_do_not_follow_the_longest_text_of_each_run(monkeypatch):
+    """Texts of like length step together: a long text among short ones costs its own steps once, and the counts stay."""
+    rng = np.random.default_rng(11)
+    normal = lambda *n: (lambda a: a / a.sum(-1, keepdims=True))(rng.random(n))
+    emit = np.zeros((hmm.SYMBOLS + 1, 3))
+    emit[:4] = normal(3, 4).T
+    model = hmm.Model(normal(3), normal(3, 3), emit)
+    seqs = [rng.integers(0, 4, 3000 if k % 50 == 7 else int(rng.integers(1, 40))).astype(np.uint16) for k in range(500)]
+    runs = hmm._alike(seqs, 4000)
+    assert sorted(np.concatenate(runs).tolist()) == list(range(500)) and all(sum(len(seqs[k]) for k in r) <= 4000 + 3000 for r in runs)
+    assert np.allclose(sum(hmm.expected(model, [seqs[k] for k in r]) for r in runs), hmm.expected(model, seqs))
+    mixed = [max(map(len, seqs[k : k + 50])) for k in range(0, 500, 50)]
+    monkeypatch.setattr(hmm, "HOLD", 10_000)
+    assert len(hmm._alike(seqs)) > 2 and sum(max(len(seqs[k]) for k in r) for r in hmm._alike(seqs)) < 0.5 * sum(mixed)
+    # sums a state at a time are those over whole rows
+    logs = np.log(emit + 1e-3)
+    assert np.allclose(hmm.distances(seqs, logs), [logs[x].sum(0) for x in seqs])
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> Hello there.\n> How are you?\nFine thanks!\n\nAnd you?"), (1, 2, "u", "> > how are YOU\n> Fine thanks!\nGood"),
