@@ -8,8 +8,8 @@ import pyarrow.compute as pc
 
 #: Codes of signs: the most frequent ones of a batch; texts with any other sign are left to the caller.
 CODES = 64
-#: Words of a column of the table, for which pairs are worked on together; those that need more are left to the caller,
-#: and so are fewer pairs than this for each word.
+#: Words of a column of the table, for which pairs are worked on together; those that need more are left to the caller.
+#: Fewer pairs than this for each word go with wider ones, and are left to the caller if there are none.
 WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 FEW = 16
 #: Words of all columns that are worked on together, so that they stay in the cache.
@@ -17,6 +17,9 @@ TOGETHER = 16384
 #: Classes that codes are counted in, by their last five bits, and codes and pairs that are looked at together for that.
 CLASSES = 32
 CODES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 15
+#: How far two texts are searched for the next eight signs that they share, and pairs that are gone through together for that.
+REACH, GONE_THROUGH = 12, 1 << 12
+_SHIFTS = sorted(((i, j) for i in range(REACH + 1) for j in range(REACH + 1) if i or j), key=max)
 
 
 class Coded:
@@ -32,9 +35,11 @@ class Coded:
         common = np.argsort(-counts, kind="stable")[: CODES - 1]
         code = np.zeros(len(counts), np.uint8)
         code[common] = np.arange(1, len(common) + 1)
-        # one sign after the last, so that places past a text's end can be read
-        self.codes = np.append(code[signs], np.uint8(0))
-        rare = np.concatenate([[0], np.cumsum(self.codes[:-1] == 0)])
+        # some signs after the last, so that places past a text's end can be read
+        self.codes = np.append(code[signs], np.zeros(8, np.uint8))
+        #: the eight codes from each place on
+        self.eights = np.ndarray(len(signs) + 1, "<u8", self.codes, strides=(1,))
+        rare = np.concatenate([[0], np.cumsum(self.codes[:-8] == 0)])
         self.plain = rare[self.start + self.size] == rare[self.start]
         self.counts = np.zeros((len(self.size), CLASSES), np.int32)
         ends, at = self.start + self.size, 0
@@ -74,18 +79,26 @@ def within_pairs(coded: Coded, a: np.ndarray, b: np.ndarray, most: np.ndarray, o
     m, n = coded.size[x] - head - tail, coded.size[y] - head - tail
     # nothing left of one text, or so little of both that it may be written anew
     todo = todo[(m[todo] > 0) & (n[todo] > most[todo])]
+    for s in range(0, len(todo), GONE_THROUGH):
+        k = todo[s : s + GONE_THROUGH]
+        out[k] = _surely(coded, coded.start[x[k]] + head[k], m[k], coded.start[y[k]] + head[k], n[k], most[k])
+    todo = todo[~out[todo]]
     kind = np.searchsorted(WIDTHS, -(-m // 64))
     todo = todo[np.lexsort((n[todo], kind[todo]))]
     cuts = np.searchsorted(kind[todo], np.arange(len(WIDTHS) + 2))
     scalar[todo[cuts[-2] :]] = True
+    few = todo[:0]
     for words, lo, hi in zip(WIDTHS, cuts, cuts[1:]):
-        if hi - lo < FEW * words:
-            scalar[todo[lo:hi]] = True
+        some = np.concatenate([few, todo[lo:hi]])
+        if len(some) < FEW * words:
+            few = some  # they go with those of the next width
             continue
+        few, some = todo[:0], some[np.argsort(n[some], kind="stable")]
         step = TOGETHER // words
-        for s in range(lo, hi, step):
-            k = todo[s : min(s + step, hi)]
+        for s in range(0, len(some), step):
+            k = some[s : s + step]
             out[k] = _myers(coded, coded.start[x[k]] + head[k], m[k], coded.start[y[k]] + head[k], n[k], most[k], words)
+    scalar[few] = True
     for k in np.flatnonzero(scalar):
         out[k] = one(coded.texts[x[k]].as_py(), coded.texts[y[k]].as_py(), int(most[k]))
     return out
@@ -104,6 +117,44 @@ def _ends(coded: Coded, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nd
     return head, tail
 
 
+def _surely(coded: Coded, xs: np.ndarray, m: np.ndarray, ys: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """True only for pairs of runs of codes within ``most``, told by one way of writing one as the other; false tells nothing.
+
+    Equal signs are passed eight at a time; where signs differ, the nearest places with eight equal signs are sought, and what lies before
+    them is written anew.
+    """
+    out = np.zeros(len(m), bool)
+    alive, xs, ys = np.arange(len(m)), xs.copy(), ys.copy()
+    x_end, y_end, cost = xs + m, ys + n, np.zeros(len(m), np.int64)
+    a, b = (np.array(v)[:, None] for v in zip(*_SHIFTS))
+    price = np.array([max(v) for v in _SHIFTS])
+    while len(alive):
+        left = np.minimum(x_end[alive] - xs[alive], y_end[alive] - ys[alive])
+        differ = coded.eights[xs[alive]] ^ coded.eights[ys[alive]]
+        same = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        same = np.minimum(same, left)
+        xs[alive] += same
+        ys[alive] += same
+        left -= same
+        stop = alive[(left < 8) & ((same < 8) | (left == 0))]
+        out[stop] = cost[stop] + np.maximum(x_end[stop] - xs[stop], y_end[stop] - ys[stop]) <= most[stop]
+        seek = alive[(same < 8) & (left >= 8)]
+        if len(seek):
+            px, py = xs[seek] + a, ys[seek] + b
+            inside = (px + 8 <= x_end[seek]) & (py + 8 <= y_end[seek])
+            last = len(coded.eights) - 1
+            hit = inside & (coded.eights[np.minimum(px, last)] == coded.eights[np.minimum(py, last)])
+            first = np.argmax(hit, axis=0)
+            found = hit[first, np.arange(len(seek))]
+            plain = np.minimum(REACH, left[(same < 8) & (left >= 8)])
+            cost[seek] += np.where(found, price[first], plain)
+            xs[seek] += np.where(found, a[first, 0], plain)
+            ys[seek] += np.where(found, b[first, 0], plain)
+        alive = alive[((same == 8) & (left > 0)) | (left >= 8)]
+        alive = alive[cost[alive] <= most[alive]]
+    return out
+
+
 def _myers(coded: Coded, xs: np.ndarray, m: np.ndarray, ys: np.ndarray, n: np.ndarray, most: np.ndarray, words: int) -> np.ndarray:
     """Whether each pair of runs of codes (from ``xs``, ``m`` long, at most ``words`` words; from ``ys``, ``n`` long) is within ``most``.
 

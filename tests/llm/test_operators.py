@@ -584,6 +584,29 @@ def test_edit_distances_of_many_pairs_equal_single_ones(monkeypatch):
     assert got.tolist() == [line_dedup.within(texts[i], texts[i + 1], int(m)) for i, m in zip(a, most)]
 
 
+def test_near_copies_are_told_without_a_table():
+    """One way of writing a text as the other proves a link; it never proves one that is none, and few pairs of each width go together."""
+    rng = np.random.default_rng(15)
+    texts = []
+    for k in range(300):
+        x = prose(rng, int(rng.integers(2, 150))).split(" ")
+        y = [str(rng.choice(WORDS)) if rng.random() < 0.03 * (k % 12) else w for w in x if rng.random() > 0.01 * (k % 5)]
+        texts += [" ".join(x), " ".join(y) + ("" if k % 7 else " x")]
+    a = np.arange(0, len(texts), 2)
+    coded = edits.Coded(pa.array(texts))
+    far = np.array([edit(x, y) for x, y in zip(texts[::2], texts[1::2])])
+    size = np.maximum(coded.size[a], coded.size[a + 1])
+    m, n = coded.size[a], coded.size[a + 1]
+    for most in ((size * 0.2).astype(np.int64), far - 1, far):
+        sure = edits._surely(coded, coded.start[a], m, coded.start[a + 1], n, most)
+        assert not sure[far > most].any()
+        asked = []
+        got = edits.within_pairs(coded, a, a + 1, most, lambda x, y, k: asked.append(x) or line_dedup.within(x, y, k))
+        assert (got == (far <= most)).all() and len(asked) < 150, len(asked)
+    sure = edits._surely(coded, coded.start[a], m, coded.start[a + 1], n, (size * 0.2).astype(np.int64))
+    assert sure[far <= size * 0.1].mean() > 0.9
+
+
 def test_lines_that_meet_by_chance_do_not_go_on():
     """Rows that a bucket sends on are those whose sign counts allow a link: no link is lost, and most strangers stay behind."""
     rng = np.random.default_rng(14)
