@@ -14,6 +14,8 @@ WIDTHS = (1, 2, 3, 4, 6, 8, 12, 16, 24)
 FEW = 16
 #: Words of all columns that are worked on together, so that they stay in the cache.
 TOGETHER = 16384
+#: Columns of a table after which it is looked at which pairs and which words still count.
+BAND = 16
 #: Classes that codes are counted in, by their last five bits, and codes and pairs that are looked at together for that.
 CLASSES = 32
 CODES_AT_ONCE, PAIRS_AT_ONCE = 1 << 20, 1 << 15
@@ -39,8 +41,8 @@ class Coded:
         self.codes = np.append(code[signs], np.zeros(8, np.uint8))
         #: the eight codes from each place on
         self.eights = np.ndarray(len(signs) + 1, "<u8", self.codes, strides=(1,))
-        rare = np.concatenate([[0], np.cumsum(self.codes[:-8] == 0)])
-        self.plain = rare[self.start + self.size] == rare[self.start]
+        rare = np.flatnonzero(self.codes[:-8] == 0)
+        self.plain = np.searchsorted(rare, self.start + self.size) == np.searchsorted(rare, self.start)
         self.counts = np.zeros((len(self.size), CLASSES), np.int32)
         ends, at = self.start + self.size, 0
         while at < len(ends):
@@ -140,10 +142,10 @@ def _surely(coded: Coded, xs: np.ndarray, m: np.ndarray, ys: np.ndarray, n: np.n
         out[stop] = cost[stop] + np.maximum(x_end[stop] - xs[stop], y_end[stop] - ys[stop]) <= most[stop]
         seek = alive[(same < 8) & (left >= 8)]
         if len(seek):
-            px, py = xs[seek] + a, ys[seek] + b
-            inside = (px + 8 <= x_end[seek]) & (py + 8 <= y_end[seek])
             last = len(coded.eights) - 1
-            hit = inside & (coded.eights[np.minimum(px, last)] == coded.eights[np.minimum(py, last)])
+            ahead = np.arange(REACH + 1)[:, None]
+            x, y = (coded.eights[np.minimum(v[seek] + ahead, last)] for v in (xs, ys))
+            hit = (x[a[:, 0]] == y[b[:, 0]]) & (a + 8 <= x_end[seek] - xs[seek]) & (b + 8 <= y_end[seek] - ys[seek])
             first = np.argmax(hit, axis=0)
             found = hit[first, np.arange(len(seek))]
             plain = np.minimum(REACH, left[(same < 8) & (left >= 8)])
@@ -159,7 +161,9 @@ def _myers(coded: Coded, xs: np.ndarray, m: np.ndarray, ys: np.ndarray, n: np.nd
     """Whether each pair of runs of codes (from ``xs``, ``m`` long, at most ``words`` words; from ``ys``, ``n`` long) is within ``most``.
 
     Rows of the table are counted from their end, so the last is the same bit for all; the rows before the first match nothing
-    and begin at 0, so each repeats the table's edge.
+    and begin at 0, so each repeats the table's edge. A way of at most ``most`` edits never leaves a band of as many diagonals, since what
+    leads away must lead back: words above it are left as they were and count as one edit more a column, words under it as one edit
+    more a row. No distance gets less by that, and those within ``most`` stay as they are.
     """
     p = len(m)
     one, top = np.uint64(1), np.uint64(63)
@@ -175,17 +179,21 @@ def _myers(coded: Coded, xs: np.ndarray, m: np.ndarray, ys: np.ndarray, n: np.nd
     full = ~np.uint64(0)
     ups = [np.where(void >= 64 * k + 64, np.uint64(0), full << np.clip(void - 64 * k, 0, 63).astype(np.uint64)) for k in range(words)]
     downs = [np.zeros(p, np.uint64) for _ in range(words)]
+    low, high = void - (most + n - m + 1) // 2 - 1, (most - n + m) // 2 + void + BAND
     for j in range(int(n.max())):
+        if j % BAND == 0:
+            begin = max(begin, int(low[alive].min()) + j >> 6) if j else 0
+            end = min(words, max(end, (int(high[alive].max()) + j >> 6) + 1)) if j else min(words, (int(high.max()) >> 6) + 1)
         at = coded.codes[np.minimum(ys[alive] + j, last)].astype(np.int64) * p + alive
         more_in, less_in = one, None
-        for k in range(words):
+        for k in range(begin, end):
             up, down, eq = ups[k], downs[k], equal[k][at]
             vertical = eq | down
             if less_in is not None:
                 eq |= less_in
             across = (((eq & up) + up) ^ up) | eq
             more, less = down | ~(across | up), up & across
-            if k == words - 1:
+            if k == end - 1:
                 score = score + (more >> top).astype(np.int64) - (less >> top).astype(np.int64)
                 more_out = less_out = None
             else:
@@ -196,11 +204,18 @@ def _myers(coded: Coded, xs: np.ndarray, m: np.ndarray, ys: np.ndarray, n: np.nd
                 less |= less_in
             ups[k], downs[k] = less | ~(vertical | more), more & vertical
             more_in, less_in = more_out, less_out
-        left = n[alive] - (j + 1) if j & 7 == 7 or len(alive) < 64 or j + 1 >= int(n[alive[0]]) else None
+        left = n[alive] - (j + 1) if j % BAND == BAND - 1 or j + 1 >= int(n[alive[0]]) else None
         if left is not None:
             ended = left == 0
             out[alive[ended]] = score[ended] <= most[alive[ended]]
-            keep = ~ended & (score - left <= most[alive])
+            keep = ~ended
+            # distances never fall along a diagonal; the one that ends in the last cell is ``left`` rows above the last
+            least, bound = score.copy(), 64 * words - left
+            for k in range(max(begin, int(bound.min()) >> 6), words):
+                over = np.clip(bound - 64 * k, 0, 64).astype(np.uint64)
+                rows = np.where(over < 64, full << np.minimum(over, top), np.uint64(0))
+                least -= np.bitwise_count(ups[k] & rows).astype(np.int64) - np.bitwise_count(downs[k] & rows)
+            keep &= (left > m[alive]) | (least <= most[alive])
             if not keep.any():
                 break
             if ended.any() or np.count_nonzero(keep) < 0.8 * len(keep):

@@ -32,8 +32,11 @@ ROUND = 64
 CLASSES = 24
 #: Lines whose signs are counted together.
 LINES_AT_ONCE = 1 << 13
-#: Rows of buckets that a task looks at together.
+#: Rows of buckets that a task looks at together, at least and at most.
 STEP = 1 << 17
+HELD = 1 << 20
+#: Lines whose rows a task deals to parts together, parts at least, rows that a part is meant to have, and rows that travel as one.
+DEALT, PARTS, PART_ROWS, PACKED = 1 << 16, 256, 1 << 18, 1 << 11
 STEP_BYTES = 32 << 20
 #: Pairs whose texts are compared together, and rows of a bucket that one task holds.
 PAIRS_AT_ONCE = 1 << 16
@@ -44,6 +47,8 @@ BITMAP_BITS = 26
 _CLASS = np.arange(256) % CLASSES
 _FOLD = WORDS.copy()
 _FOLD[48:58] = 48
+#: Each byte's bits, the highest first, as the eight bytes of a word.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 #: Sizes of the five runs of a line of so few features that they do not fill them.
 _SMALL = np.array([[0, 0, 0, 0, 0], [1, 0, 0, 0, 0], [1, 0, 0, 0, 1], [1, 1, 0, 0, 1], [1, 1, 0, 1, 1]])
 
@@ -71,8 +76,11 @@ def block_hashes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         size = np.where((n < 5)[:, None], _SMALL[np.minimum(n, 4)], np.stack([w, w, n - 4 * w, w, w], 1)).ravel()
         first = np.cumsum(size) - size
         some = size > 0
-        bits = np.unpackbits(low[a:b].view(np.uint8).reshape(-1, 2), axis=1)
-        ones = np.add.reduceat(bits, first[some], axis=0, dtype=np.uint32)
+        bytes_ = low[a:b].view(np.uint8).reshape(-1, 2)
+        if size.max() < 256:  # eight counts in a word
+            ones = np.add.reduceat(_SPREAD[bytes_], first[some], axis=0).view(np.uint8).astype(np.uint32)
+        else:
+            ones = np.add.reduceat(np.unpackbits(bytes_, axis=1), first[some], axis=0, dtype=np.uint32)
         block = np.zeros(len(size), np.uint64)
         block[some] = np.packbits(2 * ones > size[some, None], axis=1).view("<u2").ravel()
         for i, (lo, hi) in enumerate(zip(CUTS, CUTS[1:])):
@@ -112,14 +120,20 @@ def may_link(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.n
     return edits <= np.maximum(a, b) * 2 * (1 - SIMILARITY) + 1e-6
 
 
-def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
-    """(row, line number, hash, block SimHash, characters, words, first byte, end, sign counts) of each line with words, of texts given as bytes; no SimHash and no counts if not ``hashed``."""
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, first byte, end) of each line of texts given as bytes."""
     breaks = np.flatnonzero(data == 10)
     doc = np.concatenate([np.arange(len(offsets) - 1), np.searchsorted(offsets, breaks, "right") - 1])
     start = np.concatenate([offsets[:-1], breaks + 1])
     order = np.lexsort((doc, start))
     doc, start = doc[order], start[order]
     number = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+    return doc, number, start, np.append(start[1:] - (doc[1:] == doc[:-1]), len(data))
+
+
+def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    """(row, line number, hash, block SimHash, characters, words, first byte, end, sign counts) of each line with words, of texts given as bytes; no SimHash and no counts if not ``hashed``."""
+    doc, number, start, end = line_spans(data, offsets)
     lines = np.concatenate([start, [len(data)]])
     folded = _FOLD[data]
     s, e, counts = words(folded, lines)
@@ -130,8 +144,9 @@ def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
     p, inverse = powers(len(h) + 1)
     np.cumsum(h * p[: len(h)], out=whole[1:])
     own = mix((whole[ends] - whole[begins]) * inverse[begins] + counts.astype(np.uint64))
-    letters = np.concatenate([[0], np.cumsum((folded != 0) & (data & 0xC0 != 0x80))])
-    chars = letters[lines[1:]] - letters[lines[:-1]] + counts - 1
+    letters = np.concatenate([[0], np.cumsum(e - s)])
+    more = np.flatnonzero(data & 0xC0 == 0x80)  # further bytes of a sign
+    chars = letters[ends] - letters[begins] - np.diff(np.searchsorted(more, lines)) + counts - 1
     full = np.flatnonzero(counts)
     sim = np.zeros(len(full), np.uint64)
     few = (counts[full] < FEW_WORDS) & hashed
@@ -146,15 +161,25 @@ def line_records(data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
         after = np.where(at + 1 < lines[of + 1], np.append(folded, np.uint8(0))[at + 1], 0).astype(np.uint64)
         size = np.bincount(of, minlength=len(counts))
         sim[few] = block_hashes(mix(folded[at].astype(np.uint64) << np.uint64(8) | after), size[full[few]])
-    end = np.append(start[1:] - (doc[1:] == doc[:-1]), len(data))
     signs = sign_counts(data, folded, lines, full, counts) if hashed else None
     return doc[full], number[full], own[full], sim, chars[full], counts[full], start[full], end[full], signs
 
 
-def normalised(text: Column) -> Column:
-    """What two lines are compared by: A-Z lower-cased, digits as 0, runs of other ASCII signs as one space."""
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.trim(F.regexp_replace(F.regexp_replace(low, r"[^a-z0-9\x{80}-\x{10FFFF}]+", " "), "[0-9]", "0"))
+def normalised(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """What lines are compared by, of lines with words given as spans of bytes: A-Z lower-cased, digits as 0, runs of other ASCII signs as one space."""
+    size = end - start
+    first = np.cumsum(size) - size
+    f = _FOLD[data[np.arange(int(size.sum())) + np.repeat(start - first, size)]]
+    at = np.flatnonzero(f)
+    # a word's first byte comes after a space, but at its line's begin
+    apart = np.append(False, at[1:] != at[:-1] + 1)
+    begin = np.searchsorted(at, first)
+    apart[begin[1:]] = False
+    place = np.arange(len(at)) + np.cumsum(apart)
+    out = np.full(int(place[-1]) + 1 if len(at) else 0, 32, np.uint8)
+    out[place] = f[at]
+    offsets = np.append(place[begin], len(out)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(out)]).cast(pa.large_string()).cast(pa.string())
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -172,10 +197,48 @@ def _lines(docs: DataFrame) -> DataFrame:
     return base.mapInArrow(read, "doc_id long, th long, line long, h long, sim long, chars long, signs long, signs2 long")
 
 
-def _key(sim: Column, k: Column) -> Column:
-    """Key ``k`` of ten of a SimHash: two of its five blocks, and which."""
-    block = lambda i: F.shiftrightunsigned(sim, CUTS[i]).bitwiseAND((1 << (CUTS[i + 1] - CUTS[i])) - 1)
-    return F.get(F.array(*[(block(i) * (1 << 13) + block(j)) * 16 + n for n, (i, j) in enumerate(PAIRS)]), k)
+def _bucket(sim: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The bucket of each SimHash under its ``key``, one of ten: two of its five blocks, and which."""
+    block = [sim.view(np.uint64) >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1) for lo, hi in zip(CUTS, CUTS[1:])]
+    out = np.zeros(len(sim), np.int64)
+    for n, (i, j) in enumerate(PAIRS):
+        at = np.flatnonzero(key == n)
+        out[at] = ((block[i][at] << np.uint64(13) | block[j][at]) << np.uint64(4)).view(np.int64) | n
+    return out
+
+
+def _dealt(parts: int):
+    """A function from batches (sim, chars, signs, signs2) of lines to batches (part, rows): each line's ten rows, all those of a bucket in one of ``parts``.
+
+    ``rows`` holds up to ``PACKED`` rows: all their SimHashes, then all tags (16 * characters + key), then both words of sign counts.
+    """
+
+    def deal(columns):
+        sim, chars, signs, signs2 = (np.repeat(np.concatenate(x), len(PAIRS)) for x in zip(*columns))
+        key = np.tile(np.arange(len(PAIRS)), len(sim) // len(PAIRS))
+        part = (mix(_bucket(sim, key).view(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        rows = np.stack([sim, chars * 16 + key, signs, signs2])[:, order]
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        lo = np.concatenate([np.arange(a, b, PACKED) for a, b in zip(first, np.append(first[1:], len(part)))])
+        packed = [rows[:, a:b].tobytes() for a, b in zip(lo, np.append(lo[1:], len(part)))]
+        return pa.RecordBatch.from_arrays([pa.array(part[lo].astype(np.int64)), pa.array(packed, pa.binary())], names=["part", "rows"])
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        lines = 0
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy() for c in b.columns])
+                lines += b.num_rows
+            if lines >= DEALT:
+                yield deal(held)
+                held, lines = [], 0
+        if lines:
+            yield deal(held)
+
+    return run
 
 
 def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray, signs: np.ndarray) -> np.ndarray:
@@ -201,32 +264,44 @@ def _close(group: np.ndarray, sim: np.ndarray, chars: np.ndarray, signs: np.ndar
 
 
 def _met(batches):
-    """(bucket, sim) of rows with a partner, of batches (sim, tag, signs, signs2, bucket) sorted by bucket; tag is 16 * characters + key."""
-    held: list[list[np.ndarray]] = []
-    rows, wide = 0, None
-
-    def emit(bucket, tag, sim, *signs):
-        keep = _close(bucket, sim, tag >> 4, np.stack(signs).view(np.uint64))
-        if wide is not None:
-            keep |= bucket == wide
+    """(bucket, sim) of rows with a partner, of batches (part, rows) sorted by part, as ``_dealt`` gives them."""
+    held: list[np.ndarray] = []
+    rows, part, wide = 0, None, np.zeros(0, np.int64)
+
+    def emit(whole: bool):
+        """What goes on of the rows held; if more of their part come, rows of buckets that are not long yet are held on."""
+        nonlocal held, rows, wide
+        all_ = np.concatenate(held, axis=1)
+        bucket = _bucket(all_[0], all_[1] & 15)
+        order = np.argsort(bucket)
+        bucket, all_ = bucket[order], all_[:, order]
+        if whole:
+            keep = _close(bucket, all_[0], all_[1] >> 4, all_[2:].view(np.uint64)) | np.isin(bucket, wide)
+            held, rows, wide = [], 0, wide[:0]
+        else:
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            size = np.diff(np.append(first, len(bucket)))
+            wide = np.union1d(wide, bucket[first[size > LONG]])
+            keep = np.isin(bucket, wide)
+            held = [all_[:, ~keep]]
+            rows = held[0].shape[1]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(sim[keep])], names=["bucket", "sim"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(all_[0][keep])], names=["bucket", "sim"])
 
+    most = HELD
     for b in batches:
-        held.append([b.column(i).to_numpy() for i in (4, 1, 0, 2, 3)])
-        rows += b.num_rows
-        if rows >= STEP:
-            columns = [np.concatenate(x) for x in zip(*held)]
-            bucket, _, sim = columns[:3]
-            cut = int(np.searchsorted(bucket, bucket[-1], "left"))
-            yield from emit(*(x[:cut] for x in columns))
-            if rows - cut >= STEP:  # a bucket too long to hold: all its rows go on
-                wide = bucket[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut:]), pa.array(sim[cut:])], names=["bucket", "sim"])
-                cut = rows
-            held, rows = [[x[cut:] for x in columns]], rows - cut
+        for p, packed in zip(b.column(0).to_pylist(), b.column(1)):
+            if p != part:
+                if rows >= STEP:
+                    yield from emit(True)
+                part, most = p, HELD
+            held.append(np.frombuffer(packed.as_buffer(), np.int64).reshape(4, -1))
+            rows += held[-1].shape[1]
+            if rows >= most:
+                yield from emit(False)
+                most = max(HELD, 2 * rows)
     if rows:
-        yield from emit(*(np.concatenate(x) for x in zip(*held)))
+        yield from emit(True)
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -259,10 +334,11 @@ def within(a: str, b: str, most: int) -> bool:
         more, less = down | (whole & ~(across | up)), up & across
         score += (more >> top & 1) - (less >> top & 1)
         left -= 1
-        if score - left > most:
-            return False
         more, less = (more << 1) | 1, less << 1
         up, down = (less | ~(vertical | more)) & whole, more & vertical & whole
+        # distances never fall along a diagonal; the one that ends in the last cell is ``left`` rows above the last
+        if left & 15 == 0 and left <= len(x) and score - (up >> len(x) - left).bit_count() + (down >> len(x) - left).bit_count() > most:
+            return False
     return score <= most
 
 
@@ -362,34 +438,38 @@ def _linked(batches):
         yield emit(pa.Table.from_batches(held))
 
 
-def _place(h: Column, id_: Column, th: Column, line: Column) -> Column:
+def _place(id_: Column, th: Column, line: Column) -> Column:
     """A number of an occurrence of a line; the same in ``_texts``."""
-    return h.bitwiseXOR(th).bitwiseXOR(line).bitwiseXOR(F.shiftleft(F.coalesce(id_, F.lit(-1)), 8))
+    return th.bitwiseXOR(line).bitwiseXOR(F.shiftleft(F.coalesce(id_, F.lit(-1)), 8))
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(h, text): the normalised text of each line in ``wanted`` (h, first).
 
-    A bitmap of fixed size picks the first occurrence of each line while texts are read, so few others are shuffled; the join after it is exact.
+    A bitmap of fixed size picks the first occurrence of each line while texts are read, before any word is looked at, so few others are
+    hashed and shuffled; the join after it is exact.
     """
-    place = _place(F.col("h"), F.col("first.doc_id"), F.col("first.th"), F.col("first.line"))
+    place = _place(F.col("first.doc_id"), F.col("first.th"), F.col("first.line"))
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place.alias("place")), "place", BITMAP_BITS))
 
     def read(batches):
         for b in batches:
             base = b.column(0).to_numpy()
             for lo, _, data, offsets in byte_chunks(b.column(1)):
-                row, number, own, _, _, _, start, end, _ = line_records(data, offsets, hashed=False)
-                at = (own.view(np.int64) ^ base[lo + row] ^ number) & ((1 << BITMAP_BITS) - 1)
-                hit = np.flatnonzero(bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                row, number, start, end = line_spans(data, offsets)
+                at = (base[lo + row] ^ number) & ((1 << BITMAP_BITS) - 1)
+                hit = np.flatnonzero((bits.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool) & (end > start))
                 if len(hit):
-                    raw = data.tobytes()
-                    text = pa.array([raw[s:e] for s, e in zip(start[hit].tolist(), end[hit].tolist())], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(own[hit].view(np.int64)), text], names=["h", "text"])
-
-    base = _place(F.lit(0).cast("long"), F.col("doc_id").cast("long"), F.xxhash64(text_of()), F.lit(0).cast("long"))
+                    size = end[hit] - start[hit]
+                    offsets = np.append(0, np.cumsum(size))
+                    data = data[np.arange(offsets[-1]) + np.repeat(start[hit] - offsets[:-1], size)]
+                    _, _, own, _, _, _, start, end, _ = line_records(data, offsets, hashed=False)
+                    if len(own):
+                        yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), normalised(data, start, end)], names=["h", "text"])
+
+    base = _place(F.col("doc_id").cast("long"), F.xxhash64(text_of()), F.lit(0).cast("long"))
     found = docs.select(base.alias("base"), text_of().alias("text")).mapInArrow(read, "h long, text string")
-    return found.groupBy("h").agg(F.min("text").alias("text")).join(wanted, "h", "left_semi").select("h", normalised(F.col("text")).alias("text"))
+    return found.groupBy("h").agg(F.min("text").alias("text")).join(wanted, "h", "left_semi")
 
 
 def _components(members: DataFrame) -> DataFrame:
@@ -436,10 +516,11 @@ def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = written(_lines(docs))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     kinds = written(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"), *[F.first(c).alias(c) for c in ("sim", "chars", "signs", "signs2")]))
-    # ten small rows a line are dealt once by their key; only lines with a near partner go on
-    tags = kinds.where(F.col("chars") >= LEAST_CHARS).select("sim", "signs", "signs2", F.explode(F.array(*[F.col("chars") * 16 + k for k in range(len(PAIRS))])).alias("tag")).select("sim", "tag", "signs", "signs2")
-    key = _key(F.col("sim"), F.col("tag").bitwiseAND(15).cast("int"))
-    met = written(tags.repartition(key).withColumn("bucket", key).sortWithinPartitions("bucket").mapInArrow(_met, "bucket long, sim long").distinct())
+    # ten small rows a line are dealt once by their key, many together; only lines with a near partner go on
+    tags = kinds.where(F.col("chars") >= LEAST_CHARS).select("sim", "chars", "signs", "signs2")
+    parts = max(PARTS, -(-len(PAIRS) * kinds.count() // PART_ROWS))
+    dealt = tags.mapInArrow(_dealt(parts), "part long, rows binary").repartition("part").sortWithinPartitions("part")
+    met = written(dealt.mapInArrow(_met, "bucket long, sim long").distinct())
     near_lines = written(kinds.join(met.select("sim").distinct(), "sim").select("h", "n", "first", "sim", "chars"))
     texts = _texts(docs, near_lines.select("h", "first"))
     members = written(met.join(near_lines, "sim").select("bucket", "h", "sim", "chars").join(texts, "h"))

@@ -685,3 +685,85 @@ def test_repeats_do_not_depend_on_what_is_sent_together(spark, corpus, monkeypat
     together = sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, corpus).coalesce(1)).collect()), key=str)
     monkeypatch.setattr(suffix_dedup, "OUTBOX_BYTES", 1)
     assert sorted(map(tuple, suffix_dedup.remove_repeats(frame(spark, corpus).repartition(5)).collect()), key=str) == together
+
+
+def test_rows_of_buckets_travel_packed(monkeypatch):
+    """Ten rows a line are dealt many in one; the rows that go on are those of all pairs, also where a part is too long to hold."""
+    rng = np.random.default_rng(16)
+    texts = [prose(rng, int(rng.integers(3, 40))) for _ in range(300)]
+    texts += [t[:-1] for t in texts[:60]] + [" ".join(t.split(" ")[:1] + ["q"] + t.split(" ")[2:]) for t in texts[40:90]]
+    end = prose(rng, 16)
+    texts = sorted({*texts, *(prose(rng, 3) + " " + end for _ in range(40))})
+    raw = "\n".join(texts).encode()
+    records = line_dedup.line_records(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    sim, chars, signs = records[3], records[4].astype(np.int64), records[8]
+    assert len(sim) == len(texts)
+
+    def met():
+        columns = [pa.array(x.view(np.int64)) for x in (sim, chars, *signs)]
+        lines = pa.RecordBatch.from_arrays(columns, names=["sim", "chars", "signs", "signs2"])
+        dealt = pa.Table.from_batches(line_dedup._dealt(8)(lines.slice(k, 50) for k in range(0, len(sim), 50)))
+        rows = [r for b in line_dedup._met(iter(dealt.sort_by("part").to_batches(max_chunksize=3))) for r in b.to_pylist()]
+        return dealt.num_rows, sorted((r["bucket"], r["sim"]) for r in rows)
+
+    want = set()
+    for k, (i, j) in enumerate(line_dedup.PAIRS):
+        cut = lambda s, c: s >> line_dedup.CUTS[c] & (1 << line_dedup.CUTS[c + 1] - line_dedup.CUTS[c]) - 1
+        bucket = [(cut(int(s), i) << 13 | cut(int(s), j)) << 4 | k for s in sim]
+        for a, b in itertools.combinations(range(len(sim)), 2):
+            if bucket[a] != bucket[b] or (int(sim[a]) ^ int(sim[b])).bit_count() > line_dedup.DISTANCE or min(chars[a], chars[b]) < 0.8 * max(chars[a], chars[b]) - 1e-9:
+                continue
+            if line_dedup._first_key(sim[a : a + 1] ^ sim[b : b + 1])[0] == k and line_dedup.may_link(signs[:, a : a + 1], signs[:, b : b + 1], chars[a : a + 1], chars[b : b + 1])[0]:
+                want |= {(bucket[x], int(sim[x].view(np.int64))) for x in (a, b)}
+    n, got = met()
+    assert len(want) > 100 and set(got) == want and n <= 8
+    monkeypatch.setattr(line_dedup, "LONG", 4)
+    some = met()[1]
+    assert set(some) > want
+    for name, value in (("HELD", 40), ("STEP", 16), ("PACKED", 7), ("DEALT", 30)):
+        monkeypatch.setattr(line_dedup, name, value)
+        assert met()[1] == some, name
+
+
+def test_texts_of_lines_are_normalised_as_bytes():
+    rng = np.random.default_rng(17)
+    signs = list("aZ09 \t.-é漢\U0001f600\x7f\x80")
+    for _ in range(100):
+        lines = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(rng.integers(1, 30))]
+        data = np.frombuffer("\n".join(lines).encode(), np.uint8)
+        records = line_dedup.line_records(data, np.array([0, len(data)]), hashed=False)
+        some = np.flatnonzero(rng.random(len(records[0])) < 0.7)
+        norm = [re.sub("[0-9]", "0", re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", lines[k].translate({c: c + 32 for c in range(65, 91)}))).strip(" ") for k in records[1][some]]
+        assert line_dedup.normalised(data, records[6][some], records[7][some]).to_pylist() == norm
+
+
+def test_edit_distances_in_a_band_are_exact(monkeypatch):
+    """Texts whose best way leads along the edge of the band, at the bound itself and one under it, in columns of one word and of many."""
+    monkeypatch.setattr(edits, "FEW", 0)
+    monkeypatch.setattr(edits, "_surely", lambda coded, xs, m, ys, n, most: np.zeros(len(m), bool))
+    rng = np.random.default_rng(18)
+    letters = np.array(list("abcdefgh ij"))
+    texts = []
+    for k in range(120):
+        x = rng.choice(letters[: rng.integers(2, 12)], int(rng.choice([5, 40, 64, 65, 130, 260, 500])) + int(rng.integers(0, 20))).tolist()
+        cut = int(len(x) * 0.15)
+        new = rng.choice(letters, int(len(x) * rng.random() * 0.2)).tolist()
+        y = [x[cut:] + new, new + x, x[: len(x) // 2] + new + x[len(x) // 2 + cut :], [c if rng.random() > 0.2 else "q" for c in x]][k % 4]
+        texts += ["".join(x), "".join(y)]
+    a = np.arange(0, len(texts), 2)
+    coded = edits.Coded(pa.array(texts))
+    far = np.array([edit(x, y) for x, y in zip(texts[::2], texts[1::2])])
+    for most in (far - 1, far, far + 2, (np.maximum(coded.size[a], coded.size[a + 1]) * 0.2).astype(np.int64)):
+        assert (edits.within_pairs(coded, a, a + 1, most, line_dedup.within) == (far <= most)).all()
+        assert all(line_dedup.within(texts[i], texts[i + 1], int(m)) == (d <= m) for i, m, d in zip(a, most, far))
+
+
+def test_counts_of_bits_in_words_equal_those_of_single_bits():
+    """Runs of under 256 features are counted eight bits in a word; a longer line beside them has all counted one by one."""
+    rng = np.random.default_rng(19)
+    counts = np.array([1, 3, 5, 9, 10, 40, 255, 400])
+    h = rng.integers(0, 1 << 63, int(counts.sum()), dtype=np.uint64)
+    h[::3] |= np.uint64(0xFFFF)
+    long = rng.integers(0, 1 << 63, 5000, dtype=np.uint64)
+    alone = line_dedup.block_hashes(h, counts)
+    assert (alone == line_dedup.block_hashes(np.append(h, long), np.append(counts, 5000))[:-1]).all() and len(set(alone.tolist())) == len(counts)
