@@ -36,7 +36,7 @@ LINES_AT_ONCE = 1 << 13
 STEP = 1 << 17
 HELD = 1 << 20
 #: Lines whose rows a task deals to parts together, parts at least, rows that a part is meant to have, and rows that travel as one.
-DEALT, PARTS, PART_ROWS, PACKED = 1 << 16, 256, 1 << 18, 1 << 11
+DEALT, PARTS, PART_ROWS, PACKED = 1 << 15, 256, 1 << 18, 1 << 9
 STEP_BYTES = 32 << 20
 #: Pairs whose texts are compared together, and rows of a bucket that one task holds.
 PAIRS_AT_ONCE = 1 << 16
